@@ -254,8 +254,7 @@ def _spans(docs: DataFrame, row: Column, width: int, id_col: str, text_col: str,
     key, text = F.col(f"`{id_col}`").cast("long"), F.col(f"`{text_col}`")
     narrow = docs.select(key.alias("key"), text.alias("text"))
     groups = max(partitions(spark), -(-text_bytes(narrow) // BUCKET))
-    packed = narrow.mapInArrow(_hash_windows(width, groups), _PACKED)
-    found = written(dealt(packed, groups, "bucket").mapInArrow(_find_repeats(groups), _PACKED), "repeats")
+    found = written(dealt(narrow.mapInArrow(_hash_windows(width, groups), _PACKED), groups, "bucket").mapInArrow(_find_repeats(groups), _PACKED), "repeats")
     release(spark)
     texts = docs.select(_group_expr(key, groups).alias("bucket"), F.lit(2).alias("kind"), key.alias("key"), text.alias("text"), row.alias("row"))
     both = found.unionByName(texts, allowMissingColumns=True)
