@@ -29,9 +29,19 @@ BYTE_VALUES = splitmix(np.arange(1, 257, dtype=np.uint64) * U64(0x9E3779B97F4A7C
 ASCII_SPACE = np.isin(np.arange(256), [0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D])
 #: True at every ASCII byte that is neither a letter nor a digit.
 ASCII_NON_WORD = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
-IDENTITY = np.arange(256, dtype=np.uint8)
 LOWER_ASCII = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], dtype=np.uint8)
 
+
+
+def folded(data: np.ndarray) -> np.ndarray:
+    """UTF-8 bytes with the upper-case letters of ASCII and Latin-1 made lower case."""
+    out = LOWER_ASCII[data]
+    if len(data) > 1:
+        second = data[1:]
+        out[1:][(data[:-1] == 0xC3) & (second >= 0x80) & (second <= 0x9E) & (second != 0x97)] += 0x20
+    return out
+
+
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
@@ -59,8 +69,8 @@ class Words:
     bounds[i]..bounds[i+1]-1; doc_bytes: byte range of each document.
     """
 
-    def __init__(self, data: np.ndarray, doc_bytes: np.ndarray, is_space: np.ndarray = ASCII_SPACE, fold: np.ndarray = IDENTITY):
-        self.data = data if fold is IDENTITY else fold[data]
+    def __init__(self, data: np.ndarray, doc_bytes: np.ndarray, is_space: np.ndarray = ASCII_SPACE, fold: bool = False):
+        self.data = folded(data) if fold else data
         self.doc_bytes = doc_bytes
         n = len(data)
         space = is_space[data]
