@@ -23,6 +23,12 @@ def op2_stratified_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "source")
 
 
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .warc import round_trip
+
+    return round_trip(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op4_merkle_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .merkle import compared
 
@@ -41,6 +47,15 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op7_reply_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .chat import chains, conversations, digests
+
+    own = "</s>[INST] ok [/INST]"
+    rows = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("conv"), F.col("turn").cast("long").alias("turn"), "role", "text")
+    extra = spark.range(1).select(F.explode(F.array(*[F.struct(F.lit(-7).cast("long").alias("conv"), F.lit(t).cast("long").alias("turn"), F.lit(r).alias("role"), F.lit(own).alias("text")) for t, r in ((0, "user"), (1, "assistant"))])).alias("x")).select("x.*")
+    return digests(conversations(chains(rows.unionByName(extra)), best=1)).withColumnRenamed("conv", "conv_id").drop("leaf")
+
+
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .substring_dedup import repeated_spans
 
@@ -64,5 +79,28 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
 
+def _escaped(x: str) -> str:
+    from .chat import CONTROL
+
+    out = f"replace({x}, '\\', '\\\\')"
+    for c in CONTROL:
+        out = f"replace({out}, '{c}', '{c[0]}\\{c[1:]}')"
+    return out
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from .chat import END, SAYS, TURN
+
+    own = "</s>[INST] ok [/INST]"
+    return {
+        "op7_reply_trees": f"""
+with rows as (
+  select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+  union all select -7, 0, 'user', '{own}' union all select -7, 1, 'assistant', '{own}')
+select conv_id, count(*) as n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn, role, text)) as turns_sha256,
+  cast(coalesce(sum(length(text)) filter (where role = 'assistant'), 0) as bigint) as loss_chars,
+  sha256(coalesce(string_agg(text, '' order by turn, role, text) filter (where role = 'assistant'), '')) as loss_sha256,
+  cast(sum({len(TURN) + len(SAYS) + len(END)} + length({_escaped("role")}) + length({_escaped("text")})) as bigint) as formatted_chars
+from rows group by conv_id""",
+    }
