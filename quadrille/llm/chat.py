@@ -53,17 +53,15 @@ def paths(messages: DataFrame) -> DataFrame:
     inner = jumps.select(F.col("conv").alias("c"), F.col("above").alias("p")).distinct()
     leaves = base.join(inner, F.col("conv").eqNullSafe(F.col("c")) & (F.col("node") == F.col("p")), "left_anti")
     have = written(leaves.select("conv", F.col("node").alias("leaf"), "node", F.lit(0).cast("long").alias("up")), "paths")
-    step = 1
-    while not jumps.isEmpty():
+    step, most = 1, base.count()
+    while step <= most and not jumps.isEmpty():
         j = jumps.select(F.col("conv").alias("c"), F.col("node").alias("n"), "above")
         more = have.join(j, F.col("conv").eqNullSafe(F.col("c")) & (F.col("node") == F.col("n"))).select("conv", "leaf", F.col("above").alias("node"), (F.col("up") + step).alias("up"))
         have = written(have.union(more), "paths")
         up = jumps.select(F.col("conv").alias("c"), F.col("node").alias("n"), F.col("above").alias("top"))
-        # a jump that comes back to where it began is on a cycle: no leaf's path leads there
+        # jumps on a cycle never end; no path is longer than there are messages
         jumps = written(jumps.where("node != above").join(up, F.col("conv").eqNullSafe(F.col("c")) & (F.col("above") == F.col("n"))).select("conv", "node", F.col("top").alias("above")), "jumps")
         step *= 2
-        if step > 1 << 40:
-            break
     return have
 
 
