@@ -20,7 +20,9 @@ from pyspark.sql import functions as F
 
 from ._frames import written
 
-SHARDS, SEED, BUCKET_ROWS = 8, 42, 50_000
+SHARDS, SEED = 8, 42
+#: Rows of a bucket, and how many buckets a ranking has at most: their counts are summed up in one task.
+BUCKET_ROWS, BUCKETS = 1_000, 1 << 20
 
 
 def _numbered(df: DataFrame, group: list[str], bucket: str, order: list[str], name: str) -> DataFrame:
@@ -46,12 +48,12 @@ def interleave(docs: DataFrame, shards: int = SHARDS, seed: int = SEED, id_col:
     n = totals.agg(F.sum("of")).first()[0] or 0
     # 2**k buckets of the hash, so many that a bucket of the largest source holds about BUCKET_ROWS
     largest = totals.agg(F.max("of")).first()[0] or 0
-    bits = max(0, (largest // BUCKET_ROWS).bit_length())
+    bits = min((largest // BUCKET_ROWS).bit_length(), BUCKETS.bit_length() - 1)
     top = F.shiftrightunsigned("turn", 64 - bits) if bits else F.lit(0).cast("long")
     # ordered as unsigned, as its leading bits are
     ordered = rows.withColumn("bucket", top).withColumn("key", F.shiftrightunsigned("turn", 1))
     by_source = _numbered(ordered, ["source"], "bucket", ["key", "turn", "id", "text_crc32", "size"], "rank").drop("bucket", "key", "turn")
-    parts = max(1, n // BUCKET_ROWS)
+    parts = max(1, min(n // BUCKET_ROWS, BUCKETS))
     part = by_source.join(totals, "source").withColumn("fraction", (F.col("rank") * 2 + 1) / (F.col("of") * 2))
     dealt = part.withColumn("bucket", F.least(F.floor(F.col("fraction") * parts), F.lit(parts - 1)).cast("long"))
     placed = _numbered(dealt, [], "bucket", ["fraction", "source", "rank"], "position")
