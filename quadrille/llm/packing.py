@@ -28,7 +28,7 @@ from ._frames import written
 
 CAPACITY, END_ID = 4096, 1
 #: Pieces of one length and hash bucket; entries of a worker's cache of words.
-BUCKET_ROWS, CACHE = 100_000, 400_000
+BUCKET_ROWS, CACHE = 1_000, 400_000
 #: Length classes of the fit; pieces of at most this part of a sequence are kept back for gaps.
 CLASSES, KEPT_BACK = 128, 1 / 40
 

@@ -131,7 +131,8 @@ def near_duplicates(docs: DataFrame, distance: int = DISTANCE, id_col: str = "do
     member = linked.join(nodes, "fp")
     least = member.groupBy("component").agg(F.min("least").alias("smallest"))
     joined = member.join(least, "component").select("fp", F.col("smallest").alias("s"))
-    whole = nodes.join(joined, "fp", "left").select("fp", F.coalesce("s", "least").alias("component_id"))
+    # written, so that the join below has a shuffle on both sides and a fingerprint of very many rows can be split
+    whole = written(nodes.join(joined, "fp", "left").select("fp", F.coalesce("s", "least").alias("component_id")), "components")
     return rows.join(whole, "fp").select(F.col("id").alias(id_col), "fp", "component_id")
 
 
