@@ -6,10 +6,13 @@ Blocks are cut by bytes; a text longer than a block is a block of its own.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 U64 = np.uint64
 #: Odd multipliers of the rolling hashes, and their inverses modulo 2**64.
@@ -135,9 +138,28 @@ def window_starts(bounds: np.ndarray, width: int) -> np.ndarray:
     return np.flatnonzero(np.cumsum(ok[:-1], dtype=np.int8))
 
 
-def column(batch: pa.RecordBatch, name: str) -> tuple[np.ndarray, np.ndarray]:
-    """Bytes and offsets of a string or binary column; null counts as empty."""
-    arr = batch.column(batch.schema.get_field_index(name))
+def trim() -> None:
+    """Gives back what a task has freed: Python workers live on beside others, and each would keep its peak."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def trimmed(run):
+    """A function of batches that ends with `trim`."""
+
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            trim()
+
+    return wrapped
+
+
+def column(batch: pa.RecordBatch, name: str | int) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes and offsets of a string or binary column, or of so many-eth field of the struct column `row`; null counts as empty."""
+    arr = pc.struct_field(batch.column(batch.schema.get_field_index("row")), [name]) if isinstance(name, int) else batch.column(batch.schema.get_field_index(name))
     if arr.null_count:
         arr = arr.fill_null("" if pa.types.is_string(arr.type) or pa.types.is_large_string(arr.type) else b"")
     wide = pa.types.is_large_string(arr.type) or pa.types.is_large_binary(arr.type)
@@ -149,7 +171,7 @@ def column(batch: pa.RecordBatch, name: str) -> tuple[np.ndarray, np.ndarray]:
     return raw, off - off[0]
 
 
-def blocks(batch: pa.RecordBatch, name: str, size: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def blocks(batch: pa.RecordBatch, name: str | int, size: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, row after the last, bytes, offsets) of runs of rows with about `size` bytes of text."""
     data, off = column(batch, name)
     row, rows = 0, len(off) - 1

@@ -111,14 +111,14 @@ class Index:
         return best
 
 
-def _find(index, pairs: bool):
+def _find(index, pairs: bool, text: str | int = "text"):
     """Yields the overlaps (pairs), or else the rows without any."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ix: Index = index.value
         for batch in batches:
             clean, rows = np.ones(batch.num_rows, dtype=bool), []
-            for a, b, data, off in w.blocks(batch, "text", BLOCK):
+            for a, b, data, off in w.blocks(batch, text, BLOCK):
                 for (doc, item), (at, n, same) in sorted(ix.contaminated(data, off).items()):
                     clean[a + doc] = False
                     if pairs:
@@ -147,7 +147,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text
     narrow = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     out = None
     for index in _indexes(benchmark, item_col, item_text_col):
-        part = narrow.mapInArrow(_find(index, True), "doc_id long, item_id long, first_word long, words long, equal_words long")
+        part = narrow.mapInArrow(w.trimmed(_find(index, True)), "doc_id long, item_id long, first_word long, words long, equal_words long")
         out = part if out is None else out.union(part)
     return out
 
@@ -155,8 +155,8 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text
 def uncontaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """docs without the contaminated ones; all columns are kept."""
     row = F.struct(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)))
-    out = docs.select(row.alias("row"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    out = docs.select(row.alias("row"))
     kind = out.schema["row"].dataType.simpleString()
     for index in _indexes(benchmark, item_col, item_text_col):
-        out = out.mapInArrow(_find(index, False), f"row {kind}, text string")
+        out = out.mapInArrow(w.trimmed(_find(index, False, docs.columns.index(text_col))), f"row {kind}")
     return out.select(*(F.col(f"row.c{i}").alias(c) for i, c in enumerate(docs.columns)))

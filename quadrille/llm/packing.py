@@ -24,11 +24,12 @@ import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import _words as w
 from ._frames import written
 
 CAPACITY, END_ID = 4096, 1
 #: Pieces of one length and hash bucket; entries of a worker's cache of words.
-BUCKET_ROWS, CACHE = 1_000, 400_000
+BUCKET_ROWS, CACHE = 100_000, 400_000
 #: Length classes of the fit; pieces of at most this part of a sequence are kept back for gaps.
 CLASSES, KEPT_BACK = 128, 1 / 40
 
@@ -300,7 +301,7 @@ def pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY
 
         tokenizer = public_tokenizers.path("word_bpe_49k.json")
     narrow = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    pieces = written(narrow.mapInArrow(_pieces(tokenizer, capacity, end_id), "doc_id long, piece int, start long, length long, ids_crc32 long"), "pieces")
+    pieces = written(narrow.mapInArrow(w.trimmed(_pieces(tokenizer, capacity, end_id)), "doc_id long, piece int, start long, length long, ids_crc32 long"), "pieces")
     histogram = {r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}  # at most `capacity` rows
     first, start, sequence, offset = _ranges(plan(histogram, capacity))
     table = np.zeros(capacity + 1, dtype=np.int64)

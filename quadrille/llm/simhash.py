@@ -26,6 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import _words as w
 from ._frames import written
 from ._graph import components
 
@@ -62,7 +63,7 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, fp) of every row; fp is the fingerprint as a signed long."""
-    return docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text")).mapInArrow(_fingerprints, "id long, fp long")
+    return docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text")).mapInArrow(w.trimmed(_fingerprints), "id long, fp long")
 
 
 def _segments(distance: int) -> int:
@@ -131,8 +132,7 @@ def near_duplicates(docs: DataFrame, distance: int = DISTANCE, id_col: str = "do
     member = linked.join(nodes, "fp")
     least = member.groupBy("component").agg(F.min("least").alias("smallest"))
     joined = member.join(least, "component").select("fp", F.col("smallest").alias("s"))
-    # written, so that the join below has a shuffle on both sides and a fingerprint of very many rows can be split
-    whole = written(nodes.join(joined, "fp", "left").select("fp", F.coalesce("s", "least").alias("component_id")), "components")
+    whole = nodes.join(joined, "fp", "left").select("fp", F.coalesce("s", "least").alias("component_id"))
     return rows.join(whole, "fp").select(F.col("id").alias(id_col), "fp", "component_id")
 
 

@@ -33,7 +33,7 @@ from ._frames import dealt, partitions, release, text_bytes, written
 
 WIDTH = 20
 #: Bytes of text hashed at a time, and bytes of text whose windows one bucket holds on average.
-BLOCK, BUCKET = 12 << 20, 24 << 20
+BLOCK, BUCKET = 6 << 20, 16 << 20
 NO_ID = -(1 << 62)
 
 _PACKED = "bucket int, kind int, docs binary, ties binary, counts binary, keys binary, places binary"
@@ -208,8 +208,8 @@ def _kept_text(raw: bytes, words: w.Words, lo: int, hi: int, cuts: np.ndarray, b
 _RESULT = [("n_words", pa.int64()), ("n_removed", pa.int64()), ("intervals", pa.list_(pa.int64())), ("kept", pa.string()), ("kept_sha256", pa.string())]
 
 
-def _cut(width: int, digest: bool):
-    """Takes the rows of a document group: its packed places (kind 1), then its texts (kind 2)."""
+def _cut(width: int, digest: bool, text_at: int):
+    """Takes the rows of a document group: its packed places (kind 1), then its texts (kind 2; in the struct `row` at text_at)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         gathered, index, flat = _Places(), None, np.empty(0, np.uint32)
@@ -232,7 +232,7 @@ def _cut(width: int, digest: bool):
                 del docs, ties, counts, places, doc, order, d, t
             ids = texts.column(texts.schema.get_field_index("key")).fill_null(NO_ID).to_numpy(zero_copy_only=False)
             row = texts.column(texts.schema.get_field_index("row"))
-            for a, b, data, off in w.blocks(texts, "text", BLOCK):
+            for a, b, data, off in w.blocks(texts, text_at, BLOCK):
                 words, tie, raw, rows = w.Words(data, off), _text_tie(data, off), data.tobytes(), []
                 for i in range(b - a):
                     lo, hi = int(words.bounds[i]), int(words.bounds[i + 1])
@@ -244,32 +244,34 @@ def _cut(width: int, digest: bool):
                         _kept_text(raw, words, lo, hi, cuts, int(off[i]), int(off[i + 1])) if removed and not digest else None,
                         hashlib.sha256(_kept_words(raw, words, lo, hi, cuts)).hexdigest() if digest else None,
                     ))
-                yield pa.RecordBatch.from_arrays([row.slice(a, b - a), *(pa.array([r[j] for r in rows], type=kind) for j, (_, kind) in enumerate(_RESULT))], names=["row", *(n for n, _ in _RESULT)])
+                # the digest query has no use for the texts
+                passed = pa.StructArray.from_arrays([pc.struct_field(row, [0]).slice(a, b - a)], names=["id"]) if digest else row.slice(a, b - a)
+                yield pa.RecordBatch.from_arrays([passed, *(pa.array([r[j] for r in rows], type=kind) for j, (_, kind) in enumerate(_RESULT))], names=["row", *(n for n, _ in _RESULT)])
 
     return run
 
 
-def _spans(docs: DataFrame, row: Column, width: int, id_col: str, text_col: str, digest: bool) -> DataFrame:
+def _spans(docs: DataFrame, row: Column, text_at: int, width: int, id_col: str, text_col: str, digest: bool) -> DataFrame:
     spark = docs.sparkSession
     key, text = F.col(f"`{id_col}`").cast("long"), F.col(f"`{text_col}`")
     narrow = docs.select(key.alias("key"), text.alias("text"))
     groups = max(partitions(spark), -(-text_bytes(narrow) // BUCKET))
-    found = written(dealt(narrow.mapInArrow(_hash_windows(width, groups), _PACKED), groups, "bucket").mapInArrow(_find_repeats(groups), _PACKED), "repeats")
+    found = written(dealt(narrow.mapInArrow(w.trimmed(_hash_windows(width, groups)), _PACKED), groups, "bucket").mapInArrow(w.trimmed(_find_repeats(groups)), _PACKED), "repeats")
     release(spark)
-    texts = docs.select(_group_expr(key, groups).alias("bucket"), F.lit(2).alias("kind"), key.alias("key"), text.alias("text"), row.alias("row"))
+    texts = docs.select(_group_expr(key, groups).alias("bucket"), F.lit(2).alias("kind"), key.alias("key"), row.alias("row"))
     both = found.unionByName(texts, allowMissingColumns=True)
-    kind = both.schema["row"].dataType.simpleString()
-    return dealt(both, groups, "bucket").sortWithinPartitions("kind").mapInArrow(_cut(width, digest), f"row {kind}, n_words long, n_removed long, intervals array<long>, kept string, kept_sha256 string")
+    kind = f"struct<id:{docs.schema[id_col].dataType.simpleString()}>" if digest else both.schema["row"].dataType.simpleString()
+    return dealt(both, groups, "bucket").sortWithinPartitions("kind").mapInArrow(w.trimmed(_cut(width, digest, text_at)), f"row {kind}, n_words long, n_removed long, intervals array<long>, kept string, kept_sha256 string")
 
 
 def repeated_spans(docs: DataFrame, width: int = WIDTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row for each document: its id, n_words, n_removed, intervals (removed words as flat starts and ends) and kept_sha256 (the kept words, joined by one space)."""
-    out = _spans(docs, F.struct(F.col(f"`{id_col}`").alias("id")), width, id_col, text_col, True)
+    out = _spans(docs, F.struct(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text")), 1, width, id_col, text_col, True)
     return out.select(F.col("row.id").alias(id_col), "n_words", "n_removed", "intervals", "kept_sha256")
 
 
 def without_repeats(docs: DataFrame, width: int = WIDTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs, their repeated windows cut from the text; texts without any stay byte for byte. All columns are kept."""
-    out = _spans(docs, F.struct(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns))), width, id_col, text_col, False)
+    out = _spans(docs, F.struct(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns))), docs.columns.index(text_col), width, id_col, text_col, False)
     cells = [F.col(f"row.c{i}") for i in range(len(docs.columns))]
     return out.select(*((F.coalesce("kept", x) if c == text_col else x).alias(c) for c, x in zip(docs.columns, cells, strict=True)))

@@ -43,8 +43,8 @@ def features(data: np.ndarray, off: np.ndarray, bits: int = BITS) -> tuple[np.nd
     return np.concatenate(docs), np.concatenate(places).astype(np.int64)
 
 
-def fit(rows: list[np.ndarray], labels: np.ndarray, bits: int = BITS, epochs: int = EPOCHS) -> tuple[np.ndarray, np.ndarray, float]:
-    """Places and weights that aren't zero, and the intercept; rows: the distinct places of each text, in order."""
+def fit(places: np.ndarray, cut: np.ndarray, labels: np.ndarray, bits: int = BITS, epochs: int = EPOCHS) -> tuple[np.ndarray, np.ndarray, float]:
+    """Places and weights that aren't zero, and the intercept; text i has the distinct places places[cut[i]:cut[i + 1]]."""
     size = 1 << bits
     z, n = np.zeros(size + 1), np.zeros(size + 1)
 
@@ -53,9 +53,9 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, bits: int = BITS, epochs: in
         l1 = np.where(at == size, 0.0, L1)  # the intercept is free
         return np.where(np.abs(zz) <= l1, 0.0, (np.sign(zz) * l1 - zz) / ((BETA + np.sqrt(n[at])) / ALPHA + L2))
 
-    rows = [np.append(r, size) for r in rows]
     for _ in range(epochs):
-        for at, y in zip(rows, labels, strict=True):
+        for i, y in enumerate(labels):
+            at = np.append(places[cut[i] : cut[i + 1]], size)
             ww = weights(at)
             g = 1.0 / (1.0 + np.exp(-np.clip(ww.sum(), -35, 35))) - y
             had = n[at]
@@ -69,17 +69,19 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, bits: int = BITS, epochs: in
 
 def _learn(bits: int, epochs: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows, labels = [], []
+        places, lens, labels = [], [], []
         for batch in batches:
             y = batch.column(batch.schema.get_field_index("label")).to_numpy(zero_copy_only=False)
             for a, b, data, off in w.blocks(batch, "text", BLOCK):
                 doc, place = features(data, off, bits)
                 key = np.unique(doc << bits | place)
                 cut = np.searchsorted(key, np.arange(b - a + 1) << bits)
-                rows += [(key[i:j] & (1 << bits) - 1) for i, j in zip(cut[:-1], cut[1:], strict=True)]
+                places.append((key & (1 << bits) - 1).astype(np.int32))
+                lens.append(np.diff(cut))
                 labels += y[a:b].tolist()
-        if rows:
-            at, ww, intercept = fit(rows, np.array(labels, dtype=float), bits, epochs)
+        if labels:
+            cut = np.concatenate(([0], np.cumsum(np.concatenate(lens))))
+            at, ww, intercept = fit(np.concatenate(places), cut, np.array(labels, dtype=float), bits, epochs)
             yield pa.RecordBatch.from_pydict({"place": pa.array(np.append(at, -1)), "weight": pa.array(np.append(ww, intercept))})
 
     return run
@@ -91,16 +93,18 @@ def learn(labelled: DataFrame, docs: DataFrame, id_col: str = "doc_id", text_col
     chosen = label.withColumn("turn", F.xxhash64("id", F.lit(11))).orderBy("turn", "id").limit(sample)  # so many rows at most: small enough to broadcast
     texts = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     rows = texts.join(F.broadcast(chosen), "id").dropDuplicates(["id"]).repartition(1).sortWithinPartitions("turn", "id")
-    return {r["place"]: r["weight"] for r in rows.select("text", "label").mapInArrow(_learn(bits, epochs), "place long, weight double").collect()}
+    return {r["place"]: r["weight"] for r in rows.select("text", "label").mapInArrow(w.trimmed(_learn(bits, epochs)), "place long, weight double").collect()}
 
 
-def _score(at: np.ndarray, ww: np.ndarray, intercept: float, empty: bool, bits: int):
+def _score(at: np.ndarray, ww: np.ndarray, intercept: float, empty: bool, bits: int, text_at: int):
+    """text_at: the text's place in the struct `row`, which passes through."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = np.zeros(1 << bits, dtype=np.float64)
         table[at] = ww
         for batch in batches:
             total = np.full(batch.num_rows, intercept)
-            for a, b, data, off in w.blocks(batch, "text", BLOCK):
+            for a, b, data, off in w.blocks(batch, text_at, BLOCK):
                 doc, place = features(data, off, bits)
                 hit = table[place] != 0
                 key = np.unique(doc[hit] << bits | place[hit])
@@ -112,14 +116,14 @@ def _score(at: np.ndarray, ww: np.ndarray, intercept: float, empty: bool, bits:
 
 
 def scored(docs: DataFrame, weights: dict[int, float], text_col: str = "text", bits: int = BITS, keep: list[str] | None = None) -> DataFrame:
-    """Rows (row struct<c0, c1, ...>, score) with the columns of docs in `keep` (all), in order."""
+    """Rows (row struct<c0, c1, ...>, score) with the columns of docs in `keep` (all), in order; the text is one of them."""
     keep = docs.columns if keep is None else keep
     row = F.struct(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(keep)))
-    source = docs.select(row.alias("row"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    source = docs.select(row.alias("row"))
     places = np.array([k for k in weights if k >= 0], dtype=np.int64)
     ww = np.array([weights[k] for k in places.tolist()], dtype=np.float64)
     kind = source.schema["row"].dataType.simpleString()
-    return source.mapInArrow(_score(places, ww, weights.get(-1, 0.0), not weights, bits), f"row {kind}, score double")
+    return source.mapInArrow(w.trimmed(_score(places, ww, weights.get(-1, 0.0), not weights, bits, keep.index(text_col))), f"row {kind}, score double")
 
 
 def held_out(id_col: Column) -> Column:
@@ -129,7 +133,7 @@ def held_out(id_col: Column) -> Column:
 def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> DataFrame:
     """A row for each document: id, held_out, score, predicted. Held-out labels are never learned from."""
     weights = learn(labels.where(~held_out(F.col(id_col))), docs, id_col, text_col, label_col)
-    out = scored(docs, weights, text_col, keep=[id_col])
+    out = scored(docs, weights, text_col, keep=[id_col, text_col])
     key = F.col("row.c0")
     return out.select(key.alias(id_col), held_out(key).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
