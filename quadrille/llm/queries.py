@@ -93,6 +93,22 @@ def oracle_sql() -> dict[str, str]:
 
     own = "</s>[INST] ok [/INST]"
     return {
+        "op3_warc": """
+with p as (select page_id, coalesce(html, '') as body from pages),
+f as (select body, min(page_id) as least from p where strlen(body) >= 100 group by body)
+select page_id, cast(strlen(body) as bigint) as payload_bytes, sha256(body) as payload_digest,
+  case when least < page_id then 'revisit' else 'response' end as record_type,
+  case when least < page_id then least end as refers_to
+from p left join f using (body)""",
+        "op8_substring_dedup": r"""
+with d as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents),
+win as (select doc_id, i, sha256(array_to_string(w[i:i + 19], ' ')) as h from (select doc_id, w, unnest(range(1, len(w) - 18)) as i from d where len(w) >= 20)),
+again as (select doc_id, i from (select doc_id, i, row_number() over (partition by h order by doc_id, i) as k from win) where k > 1),
+gone as (select distinct doc_id, i + k as p from again, range(20) as t(k)),
+words as (select doc_id, unnest(w) as word, unnest(range(1, len(w) + 1)) as p from d),
+kept as (select doc_id, string_agg(word, ' ' order by p) as text, count(*) as n from words anti join gone using (doc_id, p) group by doc_id)
+select doc_id, cast(len(w) as bigint) as n_words, cast(len(w) - coalesce(n, 0) as bigint) as n_removed, sha256(coalesce(kept.text, '')) as kept_sha256
+from d left join kept using (doc_id)""",
         "op7_reply_trees": f"""
 with rows as (
   select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
