@@ -28,8 +28,8 @@ from . import _words as w
 from ._frames import written
 
 CAPACITY, END_ID = 4096, 1
-#: Pieces of one length and hash bucket; entries of a worker's cache of words.
-BUCKET_ROWS, CACHE = 100_000, 400_000
+#: Pieces of one length and hash bucket, and buckets of a length at most; entries of a worker's cache of words.
+BUCKET_ROWS, BUCKETS, CACHE = 1_000, 1 << 16, 400_000
 #: Length classes of the fit; pieces of at most this part of a sequence are kept back for gaps.
 CLASSES, KEPT_BACK = 128, 1 / 40
 
@@ -283,7 +283,7 @@ def _assign(first: np.ndarray, start: np.ndarray, sequence: np.ndarray, offset:
 
 def ranked(pieces: DataFrame, histogram: dict[int, int]) -> DataFrame:
     """pieces with rank: 0.. within each length, in no task more than about BUCKET_ROWS of one length."""
-    many = {n: -(-c // BUCKET_ROWS) for n, c in histogram.items() if c > BUCKET_ROWS}
+    many = {n: min(-(-c // BUCKET_ROWS), BUCKETS) for n, c in histogram.items() if c > BUCKET_ROWS}
     splits = F.lit(1)
     if many:
         splits = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in many.items() for x in kv]), F.col("length").cast("int")), F.lit(1))
