@@ -15,7 +15,9 @@ columns are not read. Sequence numbers run from 0 without gaps.
 
 from __future__ import annotations
 
+import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -43,6 +45,8 @@ class WordTokenizer:
 
     #: The tokenizer's own split pattern.
     SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+    #: Latin letters and then punctuation (no apostrophe): the two tokens of SPLIT in such a word.
+    SIMPLE = re.compile(r"([a-zªµºß-öø-ɏ]+)([!-&(-/:-@\[-`{-~¡-©«¬®-±´¶-¸»¿×÷]*)")
     PLAIN = regex.compile(r"[\x21-\x7e\xa1-\xac\xae-ɏ]+")
 
     def __init__(self, path: str):
@@ -61,13 +65,15 @@ class WordTokenizer:
         if got is None:
             if len(self.parts) >= CACHE // 2:
                 self.parts.clear()
-            word = part.encode().decode("latin-1").translate(self.letters)
-            got = self.parts[part] = np.array([t.id for t in self.merges(word)], dtype="<u4").tobytes()
+            word = part if part.isascii() else part.encode().decode("latin-1").translate(self.letters)
+            got = self.parts[part] = array("I", [t.id for t in self.merges(word)]).tobytes()
         return got
 
     def word(self, raw: bytes) -> bytes:
         text = raw.decode()
-        if self.PLAIN.fullmatch(text) and "<|" not in text:
+        if m := self.SIMPLE.fullmatch(text.lower()):
+            got = self.part(m[1]) + self.part(m[2]) if m[2] else self.part(m[1])
+        elif self.PLAIN.fullmatch(text) and "<|" not in text:
             got = b"".join(map(self.part, self.SPLIT.findall(text.lower())))
         else:
             got = np.array(self.whole.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
