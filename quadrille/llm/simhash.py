@@ -11,8 +11,9 @@ little: such values are looked up together with the pieces of the rest of the fi
 must be equal.
 
 Defined cases: null, empty and all-space texts have fingerprint zero and link like any other; a text of fewer words
-than a shingle is one shingle; rows with one id are one document for component_id; component_id is the least id
-that isn't null, or null if there is none. Other columns are not read.
+than a shingle is one shingle; component_id is the least id, of any row with a linked fingerprint, that isn't null, or
+null if there is none. one_of_each decides by row: equal ids with texts that aren't near duplicates, and null ids, keep
+their rows. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -61,6 +62,14 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(values.view(np.int64))], names=["id", "fp"])
 
 
+def _fingerprints_beside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """As _fingerprints, of the last column, behind the others."""
+    for batch in batches:
+        texts = batch.column(batch.num_columns - 1).cast(pa.large_binary())
+        values = np.fromiter((fingerprint(t.as_py() or b"") for t in texts), np.uint64, len(texts))
+        yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(values.view(np.int64))], names=[*batch.schema.names[:-1], "fp"])
+
+
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, fp) of every row; fp is the fingerprint as a signed long."""
     return docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text")).mapInArrow(w.trimmed(_fingerprints), "id long, fp long")
@@ -124,26 +133,46 @@ def links(nodes: DataFrame, distance: int = DISTANCE, hot: int = HOT) -> DataFra
     return found.distinct()
 
 
+def _clusters(rows: DataFrame, key: Column, distance: int) -> DataFrame:
+    """(fp, best): the least `key` of all rows (which have fp) in a fingerprint's component; written, one row a fingerprint."""
+    nodes = written(rows.groupBy("fp").agg(F.min(key).alias("least")), "nodes")
+    linked = components(links(nodes.select("fp"), distance)).withColumnRenamed("node", "fp")
+    member = linked.join(nodes, "fp")
+    smallest = member.groupBy("component").agg(F.min("least").alias("smallest"))
+    joined = member.join(smallest, "component").select("fp", F.col("smallest").alias("s"))
+    # written, so that a join with it has a shuffle on both sides and a fingerprint of very many rows can be split
+    return written(nodes.join(joined, "fp", "left").select("fp", F.coalesce("s", "least").alias("best")), "components")
+
+
 def near_duplicates(docs: DataFrame, distance: int = DISTANCE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row for each row of docs: its id, fp (signed long) and component_id."""
     rows = written(fingerprints(docs, id_col, text_col), "fingerprints")
-    nodes = written(rows.groupBy("fp").agg(F.min("id").alias("least")), "nodes")
-    linked = components(links(nodes.select("fp"), distance)).withColumnRenamed("node", "fp")
-    member = linked.join(nodes, "fp")
-    least = member.groupBy("component").agg(F.min("least").alias("smallest"))
-    joined = member.join(least, "component").select("fp", F.col("smallest").alias("s"))
-    # written, so that the join below has a shuffle on both sides and a fingerprint of very many rows can be split
-    whole = written(nodes.join(joined, "fp", "left").select("fp", F.coalesce("s", "least").alias("component_id")), "components")
+    whole = _clusters(rows, F.col("id"), distance).select("fp", F.col("best").alias("component_id"))
     return rows.join(whole, "fp").select(F.col("id").alias(id_col), "fp", "component_id")
 
 
+def _row_key(id_col: str, text_col: str) -> list[Column]:
+    """Columns that tell rows apart: the id, and 128 bits of the text."""
+    key, text = F.col(f"`{id_col}`").cast("long"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
+    return [key.isNull().alias("_none"), F.coalesce(key, F.lit(0)).cast("long").alias("_id"), F.xxhash64(text).alias("_h"), F.xxhash64(F.lit(1), text).alias("_g")]
+
+
 def one_of_each(docs: DataFrame, distance: int = DISTANCE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without the rows that are near duplicates of one with a smaller id; of rows with one id a single one stays. All columns are kept."""
-    found = written(near_duplicates(docs, distance, id_col, text_col), "near-duplicates")
-    gone = found.where(F.col("component_id") < F.col(id_col)).select(F.col(id_col).alias("gone_id")).distinct()
-    kept = docs.join(gone, docs[f"`{id_col}`"] == F.col("gone_id"), "left_anti")
-    again = found.where(F.col(id_col) <= F.col("component_id")).groupBy(id_col).count().where("count > 1").select(F.col(id_col).alias("again_id"))
-    if again.isEmpty():
-        return kept
-    twice = kept.join(again, kept[f"`{id_col}`"] == F.col("again_id"), "left_semi")
-    return kept.join(again, kept[f"`{id_col}`"] == F.col("again_id"), "left_anti").union(twice.dropDuplicates([id_col]))
+    """docs with one row of each group of near duplicates: the one with the least id (null ids last; equal ids by a hash of the text).
+
+    Rows, not ids, are decided on: rows that share an id, or have none, and aren't near duplicates all stay. Of rows equal in
+    id and text the one whose columns come first as JSON stays. All columns are kept.
+    """
+    names = ["_none", "_id", "_h", "_g"]
+    keyed = docs.select(*_row_key(id_col, text_col), F.col(f"`{text_col}`").cast("string").alias("text"))
+    rows = written(keyed.mapInArrow(w.trimmed(_fingerprints_beside), "_none boolean, _id long, _h long, _g long, fp long"), "fingerprints")
+    distinct = rows.groupBy(*names, "fp").agg(F.count(F.lit(1)).alias("times"))
+    mine = F.struct(*names)
+    judged = written(distinct.join(_clusters(rows, mine, distance), "fp").select(*names, "times", (mine == F.col("best")).alias("stays")), "judged")
+    gone, again = judged.where("not stays").select(*names), judged.where("stays and times > 1").select(*names)
+    tagged = docs.select(F.struct(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns))).alias("row"), *_row_key(id_col, text_col))
+    kept = tagged.join(gone, names, "left_anti")
+    if not again.isEmpty():
+        twice = kept.join(again, names, "left_semi").groupBy(*names).agg(F.min_by("row", F.to_json("row")).alias("row"))
+        kept = kept.join(again, names, "left_anti").select("row").union(twice.select("row"))
+    return kept.select(*(F.col(f"row.c{i}").alias(c) for i, c in enumerate(docs.columns)))

@@ -98,3 +98,30 @@ def test_chain_reaches_the_least_id(spark):
 def test_empty_table(spark):
     df = spark.createDataFrame([], SCHEMA)
     assert near_duplicates(df).count() == 0 and one_of_each(df).count() == 0
+
+
+def test_survivors_are_decided_by_row(spark):
+    texts = [t for _, t in corpus()]
+    r = random.Random(12)
+    ids = [None, 1, 2, 3, 3, 3, 4, 5]
+    rows = [(r.choice(ids), t, f"f{i % 2}", None) for i, t in enumerate(texts)] + [(5, "A " * 40, "x", "c"), (5, "B " * 40, "x", "c"), (1, "A " * 40, "x", "c"), (7, "C c1", "x", "c"), (7, "D d1", "x", "c")]
+    rows += rows[:3] + [(*rows[4][:2], "other", "c")]
+    df = spark.createDataFrame(rows, SCHEMA)
+    kept = [tuple(x) for x in one_of_each(df).collect()]
+    fps = [brute_fp(t) for _, t, *_ in rows]
+    part = list(range(len(rows)))
+    for _ in rows:
+        for i in range(len(rows)):
+            for j in range(i):
+                if (fps[i] ^ fps[j]).bit_count() <= 3:
+                    part[i] = part[j] = min(part[i], part[j])
+    groups = {}
+    for i, row in enumerate(rows):
+        groups.setdefault(part[i], []).append(row)
+    assert len(kept) == len(groups)
+    order = lambda d: (d is None, d or 0)
+    for members in groups.values():
+        mine = [k for k in kept if k in members]
+        assert len(mine) == 1 and order(mine[0][0]) == min(order(m[0]) for m in members)
+    assert {(5, "B " * 40, "x", "c"), (1, "A " * 40, "x", "c"), (7, "C c1", "x", "c"), (7, "D d1", "x", "c")} <= set(kept)
+    assert sorted(kept, key=repr) == sorted(map(tuple, one_of_each(df.repartition(3)).collect()), key=repr)
