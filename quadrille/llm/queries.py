@@ -36,9 +36,9 @@ def op4_merkle_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .decontamination import overlaps
+    from .decontamination import contaminated
 
-    return overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
