@@ -1,21 +1,30 @@
-"""Document fingerprints: a Merkle tree over sections, paragraphs and sentences.
+"""Document fingerprints: a Merkle tree over sections, paragraphs and short runs of words.
 
 A text is cut, without losing a byte, into sections (after a blank line, and after every SECTION paragraphs without
-one), a section into paragraphs (after a line end), a paragraph into leaves (after each full stop, exclamation or
-question mark and the white space behind it, and after LEAF_WORDS words without one). A leaf's digest is that of its
-bytes, a node's that of its children's digests; the root is the fingerprint, so equal roots mean equal texts.
-Likeness of two trees compares what they keep, never the texts: 1 for equal roots, else the bytes of leaves in common
-(as multisets of digests) over the bytes of the longer text. Where two trees differ, walking down the branches whose
-digests differ finds the first edited section and paragraph.
+one), a section into paragraphs (after a line end), a paragraph into leaves: runs of words that end where a word's
+checksum says so (every fourth word on average, LEAF_WORDS at most), so the same words make the same leaves wherever they
+stand. In paragraphs of at most SHORT_WORDS words each word is a leaf, and words of more than 8 bytes are cut into pieces
+of 4. A leaf's digest is that of its bytes, a node's that of its children's digests; the root is the fingerprint, so equal
+roots mean equal texts.
+
+The tree is emitted beside its root (`tree`: digests of sections and paragraphs, 4 bytes of each leaf's, and lengths, about
+a quarter of the text), and likeness needs nothing else: from the root down, branches with equal digests count with all
+their bytes and only differing ones are opened; the bytes in common, as multisets, are divided by those of the longer text.
+Walking down the branches whose digests differ also finds the first edited section and paragraph.
 
 Defined cases: a null text is empty; an empty text is a root without children; rows given twice follow each other;
-equal ids rank by text. Other columns are not read.
+equal ids rank by a hash of the text, null ids come last. A very long text is one row: a task holds it, its edited form and
+their trees, and no more than two documents at a time. Other columns are not read.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+import struct
+import zlib
+from array import array
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -24,72 +33,139 @@ from pyspark.sql import functions as F
 
 from ._frames import partitions, text_bytes, written
 
-SECTION, LEAF_WORDS, DIGEST = 8, 6, 16
+SECTION, LEAF_WORDS, SHORT_WORDS, DIGEST = 8, 8, 16, 16
 #: Bytes of text in a run of neighbouring documents.
 RUN_BYTES = 16 << 20
 _PARAGRAPH = re.compile(rb"[^\n]*+\n|[^\n]++")
-_LEAF = re.compile(rb"(?:[^\s.!?]++\s*+){1,%d}+[.!?]*+\s*+|[.!?]++\s*+|\s++" % LEAF_WORDS)
+#: A word and the white space behind it.
+_LEAF = re.compile(rb"\S++\s*+|\s++")
 
 
 def _hash(data: bytes) -> bytes:
     return hashlib.blake2b(data, digest_size=DIGEST).digest()
 
 
+def _leaves(paragraph: bytes) -> list[bytes]:
+    words = _LEAF.findall(paragraph)
+    if len(words) <= SHORT_WORDS:
+        return [x for word in words for x in ([word] if len(word) <= 8 else [word[i : i + 4] for i in range(0, len(word), 4)])]
+    out, begin = [], 0
+    for i, word in enumerate(words, 1):
+        if i - begin == LEAF_WORDS or not zlib.crc32(word) & 3:
+            out.append(b"".join(words[begin:i]))
+            begin = i
+    return [*out, b"".join(words[begin:])] if begin < len(words) else out
+
+
 class Tree:
-    """root; sections: digests; paragraphs: digests by section; leaves: digest -> (bytes, times)."""
+    """root; size: bytes of the text; sections: (digest, bytes, paragraphs), a paragraph: (digest, bytes, leaves), a leaf: 4 bytes of its digest << 32 | its bytes."""
 
-    __slots__ = ("leaves", "paragraphs", "root", "sections", "size")
+    __slots__ = ("root", "sections", "size")
 
     def __init__(self, text: bytes):
-        self.size, self.leaves, self.sections, self.paragraphs = len(text), {}, [], []
-        section: list[bytes] = []
+        self.size, self.sections = len(text), []
+        section: list[tuple] = []
         for paragraph in _PARAGRAPH.findall(text):
-            digests = []
-            for leaf in _LEAF.findall(paragraph):
-                d = _hash(leaf)
-                digests.append(d)
-                had = self.leaves.get(d)
-                self.leaves[d] = (len(leaf), had[1] + 1 if had else 1)
-            section.append(_hash(b"p" + b"".join(digests)))
+            leaves = _leaves(paragraph)
+            digests = list(map(_hash, leaves))
+            marks = array("Q", (int.from_bytes(d[:4], "little") << 32 | len(x) for d, x in zip(digests, leaves, strict=True)))
+            section.append((_hash(b"p" + b"".join(digests)), len(paragraph), marks))
             if len(section) == SECTION or not paragraph.strip():
                 self._close(section)
                 section = []
         if section:
             self._close(section)
-        self.root = _hash(b"r" + b"".join(self.sections))
-
-    def _close(self, section: list[bytes]) -> None:
-        self.paragraphs.append(section)
-        self.sections.append(_hash(b"s" + b"".join(section)))
+        self.root = _hash(b"r" + b"".join(d for d, _, _ in self.sections))
+
+    def _close(self, section: list[tuple]) -> None:
+        self.sections.append((_hash(b"s" + b"".join(d for d, _, _ in section)), sum(n for _, n, _ in section), section))
+
+    @property
+    def leaves(self) -> int:
+        return sum(len(marks) for _, _, paragraphs in self.sections for _, _, marks in paragraphs)
+
+    def encoded(self) -> bytes:
+        """The tree as bytes, from which `decoded` makes it again: all that likeness needs."""
+        out = [self.root, struct.pack("<QI", self.size, len(self.sections))]
+        for digest, _, paragraphs in self.sections:
+            out.append(digest + struct.pack("<I", len(paragraphs)))
+            for d, _, marks in paragraphs:
+                lens = [m & 0xFFFFFFFF for m in marks]
+                width = "B" if max(lens) < 256 else "I"
+                out.append(d + struct.pack("<I?", len(marks), width == "I") + struct.pack(f"<{len(marks)}I", *(m >> 32 for m in marks)) + struct.pack(f"<{len(lens)}{width}", *lens))
+        return b"".join(out)
+
+    @classmethod
+    def decoded(cls, data: bytes) -> Tree:
+        self, at = cls.__new__(cls), DIGEST + 12
+        self.root, self.sections = data[:DIGEST], []
+        self.size, count = struct.unpack_from("<QI", data, DIGEST)
+        for _ in range(count):
+            digest, (n,) = data[at : at + DIGEST], struct.unpack_from("<I", data, at + DIGEST)
+            at, paragraphs = at + DIGEST + 4, []
+            for _ in range(n):
+                d, (k, wide) = data[at : at + DIGEST], struct.unpack_from("<I?", data, at + DIGEST)
+                at += DIGEST + 5
+                heads, lens = struct.unpack_from(f"<{k}I", data, at), struct.unpack_from(f"<{k}{'I' if wide else 'B'}", data, at + 4 * k)
+                at += k * (8 if wide else 5)
+                paragraphs.append((d, sum(lens), array("Q", (h << 32 | x for h, x in zip(heads, lens, strict=True)))))
+            self.sections.append((digest, sum(x for _, x, _ in paragraphs), paragraphs))
+        return self
 
     def likeness(self, other: Tree) -> float:
+        """Bytes of equal branches, found from the root down, over those of the longer text."""
         if self.root == other.root:
             return 1.0
-        small, large = sorted((self.leaves, other.leaves), key=len)
-        common = sum(n * min(times, large[d][1]) for d, (n, times) in small.items() if d in large)
+        common, a, b = 0, self.sections, other.sections
+        for _ in range(2):  # sections, then the paragraphs of those that differ
+            same, a, b = _paired(a, b)
+            common, a, b = common + same, [x for _, _, inner in a for x in inner], [x for _, _, inner in b for x in inner]
+        mine, theirs = Counter(a), Counter(b)
+        small, large = sorted((mine, theirs), key=len)
+        common += sum((m & 0xFFFFFFFF) * min(n, large[m]) for m, n in small.items() if m in large)
         return min(common / max(self.size, other.size, 1), 1.0 - 1e-9)
 
     def first_difference(self, other: Tree) -> tuple[int, int] | None:
         """(section, paragraph in it) where the trees part, or None for equal roots."""
         if self.root == other.root:
             return None
+        digests = lambda nodes: [d for d, _, _ in nodes]
         for s in range(max(len(self.sections), len(other.sections))):
-            if self.sections[s : s + 1] != other.sections[s : s + 1]:
-                ours, theirs = (t.paragraphs[s] if s < len(t.paragraphs) else [] for t in (self, other))
+            if digests(self.sections[s : s + 1]) != digests(other.sections[s : s + 1]):
+                ours, theirs = (digests(t.sections[s][2]) if s < len(t.sections) else [] for t in (self, other))
                 return s, next((p for p in range(max(len(ours), len(theirs))) if ours[p : p + 1] != theirs[p : p + 1]), 0)
         return None
 
 
+def _paired(a: list[tuple], b: list[tuple]) -> tuple[int, list[tuple], list[tuple]]:
+    """Bytes of the nodes that two lists have in common, and the rest of each."""
+    free, common, rest = Counter(d for d, _, _ in b), 0, []
+    used: Counter = Counter()
+    for node in a:
+        if used[node[0]] < free[node[0]]:
+            used[node[0]] += 1
+            common += node[1]
+        else:
+            rest.append(node)
+    left = []
+    for node in b:
+        if used[node[0]]:
+            used[node[0]] -= 1
+        else:
+            left.append(node)
+    return common, rest, left
+
+
 def edited(text: str, following: str) -> str:
     """text, its last half (rounded down, in code points) replaced by the first as many of the following text."""
     half = len(text) // 2
     return text[: len(text) - half] + following[:half]
 
 
-_RESULT = [("id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64()), ("first_section", pa.int32()), ("first_paragraph", pa.int32()), ("n_sections", pa.int32()), ("n_leaves", pa.int64())]
+_RESULT = [("id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64()), ("first_section", pa.int32()), ("first_paragraph", pa.int32()), ("n_sections", pa.int32()), ("n_leaves", pa.int64()), ("tree", pa.binary())]
 #: Edge rows carry the first (1) and last (2) text of a run.
 _OUT = pa.schema([*_RESULT, ("run", pa.int32()), ("edge", pa.int32()), ("text", pa.string())])
-_DDL = "id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, first_section int, first_paragraph int, n_sections int, n_leaves long, run int, edge int, text string"
+_DDL = "id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, first_section int, first_paragraph int, n_sections int, n_leaves long, tree binary, run int, edge int, text string"
 _NAMES = [n for n, _ in _RESULT]
 
 
@@ -97,8 +173,7 @@ def _pair(key: int | None, text: str, tree: Tree, following: str, next_tree: Tre
     e = edited(text, following).encode()
     changed = Tree(e)
     at = tree.first_difference(changed) or (None, None)
-    leaves = sum(n for _, n in tree.leaves.values())
-    return key, len(text), hashlib.sha256(e).hexdigest(), tree.root.hex(), changed.root.hex(), tree.likeness(changed), tree.likeness(next_tree), *at, len(tree.sections), leaves
+    return key, len(text), hashlib.sha256(e).hexdigest(), tree.root.hex(), changed.root.hex(), tree.likeness(changed), tree.likeness(next_tree), *at, len(tree.sections), tree.leaves, tree.encoded()
 
 
 def _table(rows: list[tuple]) -> pa.RecordBatch:
@@ -141,8 +216,10 @@ def compared(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     spark = docs.sparkSession
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"))
     runs = max(partitions(spark), -(-text_bytes(rows) // RUN_BYTES))
-    order = [F.col("id").desc_nulls_last(), F.xxhash64("text")]
-    dealt = rows.repartitionByRange(runs, *order).sortWithinPartitions(*order).withColumn("run", F.spark_partition_id())
+    # equal rows are told apart by chance, so that many of them are several runs
+    rows = rows.withColumn("tie", F.rand(11))
+    order = [F.col("id").desc_nulls_last(), F.xxhash64("text"), F.col("tie")]
+    dealt = rows.repartitionByRange(runs, *order).sortWithinPartitions(*order).select("id", "text", F.spark_partition_id().alias("run"))
     out = written(dealt.mapInArrow(_neighbours, _DDL), "runs")
     edges = out.where("edge > 0")
     first, last = edges.where("edge = 1").select("run", "text"), edges.where("edge = 2").select("run", "id", "text")
