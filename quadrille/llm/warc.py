@@ -10,13 +10,19 @@ Reading: the text reader splits files at the version line that opens each record
 time. No chunk may contain that line: a payload that does is cut inside it. A payload in one chunk is digested where it
 is read; the chunks of longer ones are sorted by number, and their digest is taken from one to the next.
 
+A record is named by its page id and the digest of its payload, so a revisit can name the response that it refers to.
+Rows that share both get a number of their own as well; a revisit of such names the page alone, in X-Refers-To-Page.
+Addresses stand as they are; one with a line break or the version line in it is percent-escaped whole, which X-Escaped says.
+
 Defined cases: a null payload is empty, a null url is left out; rows that share the smallest id among equal payloads
-are responses each; a null page id is written as `null` and read back as null; an empty table makes an empty archive.
+are responses each; a null page id is written as `null` and read back as null; an empty table makes an empty archive;
+a payload of any length is written and read chunk by chunk. Other columns are not read.
 """
 
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -26,7 +32,8 @@ from pyspark.sql import functions as F
 from ._frames import partitions, scratch, written
 
 CHUNK, LEAST = 1 << 20, 100
-#: Revisits (40 bytes each) up to this count are broadcast to the pages; beyond it both sides are shuffled.
+#: Revisits and repeated rows (about 150 bytes each with their 64 digits, so 30 MB) up to this count are broadcast to the
+#: pages; beyond it both sides are shuffled.
 BROADCAST_ROWS = 200_000
 VERSION, HTTP = b"WARC/1.1", b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 
@@ -49,12 +56,19 @@ def chunks(payload: bytes, size: int = CHUNK) -> Iterator[bytes]:
             return
 
 
-def _uri(key: int | None, *more: int) -> str:
-    return "<urn:page:" + ":".join(map(str, ("null" if key is None else key, *more))) + ">"
+def _uri(key: int | None, digest: str, row: int | None, number: int = 1) -> str:
+    return "<urn:page:" + ":".join(map(str, ("null" if key is None else key, digest, *([] if row is None else [f"r{row}"]), number))) + ">"
+
+
+def _address(url: str) -> list[str]:
+    if not re.search(r"[\r\n]|WARC/1\.1", url):
+        return ["WARC-Target-URI: " + url]
+    return ["WARC-Target-URI: " + url.replace("%", "%25").replace("\r", "%0D").replace("\n", "%0A").replace("WARC/", "WARC%2F"), "X-Escaped: 1"]
 
 
-def _records(key: int | None, row: int, url: str | None, payload: bytes, digest: str, revisit: bool, refers_to: int | None) -> Iterator[bytes]:
-    """The records of one page, without the line break that the writer adds."""
+def _records(key: int | None, row: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None, target_many: bool) -> Iterator[bytes]:
+    """The records of one page, without the line break that the writer adds. row: a number for rows alike in id and digest; refers_to: of a revisit."""
+    revisit = refers_to is not None
     running, parts = hashlib.sha256(), [b""] if revisit else chunks(payload)
     done, parts = 0, iter(parts)
     part = next(parts)
@@ -63,15 +77,17 @@ def _records(key: int | None, row: int, url: str | None, payload: bytes, digest:
         after = next(parts, None)
         running.update(part)
         done += len(part)
-        head = ["WARC/1.1", f"WARC-Type: {('revisit' if revisit else 'response') if number == 1 else 'continuation'}", f"WARC-Record-ID: {_uri(key, row, number)}", "WARC-Date: 1970-01-01T00:00:00Z"]
+        head = ["WARC/1.1", f"WARC-Type: {('revisit' if revisit else 'response') if number == 1 else 'continuation'}", f"WARC-Record-ID: {_uri(key, digest, row, number)}", "WARC-Date: 1970-01-01T00:00:00Z"]
         if number == 1:
             if url:
-                head.append("WARC-Target-URI: " + url.replace("%", "%25").replace("\r", "%0D").replace("\n", "%0A").replace("WARC/", "WARC%2F"))
+                head += _address(url)
             head += [f"WARC-Payload-Digest: sha256:{digest}", f"X-Payload-Length: {len(payload)}", "Content-Type: application/http;msgtype=response"]
         else:
-            head.append(f"WARC-Segment-Origin-ID: {_uri(key, row, 1)}")
+            head.append(f"WARC-Segment-Origin-ID: {_uri(key, digest, row)}")
         if revisit:
-            head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: {_uri(refers_to)}"]
+            head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"X-Refers-To-Page: {refers_to}"]
+            if not target_many:
+                head.append(f"WARC-Refers-To: {_uri(refers_to, digest, None)}")
         if number > 1 or after is not None:
             head.append(f"WARC-Segment-Number: {number}")
             if after is None:
@@ -87,8 +103,8 @@ def _write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows, size = [], 0
         for i in range(batch.num_rows):
-            key, row, url, payload, digest, refers_to, revisit = (c[i].as_py() for c in batch.columns)
-            for record in _records(key, row, url, payload or b"", digest, revisit, refers_to):
+            key, row, url, payload, digest, refers_to, many, target_many = (c[i].as_py() for c in batch.columns)
+            for record in _records(key, row if many else None, url, payload or b"", digest, refers_to, target_many):
                 rows.append(record)
                 size += len(record)
                 if size >= 4 * CHUNK:
@@ -103,12 +119,17 @@ def write(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "
     payload = F.coalesce(F.col(f"`{payload_col}`").cast("binary"), F.lit(b""))
     rows = pages.select(F.col(f"`{id_col}`").cast("long").alias("page_id"), F.col(f"`{url_col}`").cast("string").alias("url"), payload.alias("payload")).withColumn("digest", F.sha2("payload", 256))
     narrow = written(rows.select("page_id", "digest", F.octet_length("payload").alias("n")), "digests")
-    shared = narrow.where(F.col("n") >= least).groupBy("digest").agg(F.min("page_id").alias("least"), F.count("*").alias("times")).where("times > 1").select("digest", "least")
-    revisits = written(narrow.join(shared, "digest").where("page_id > least").select("page_id", "digest", "least").distinct(), "revisits")
-    if revisits.count() <= BROADCAST_ROWS:
-        revisits = F.broadcast(revisits)
-    marked = rows.join(revisits, ["page_id", "digest"], "left")
-    records = marked.select("page_id", F.monotonically_increasing_id().alias("row"), "url", "payload", "digest", "least", F.col("least").isNotNull().alias("revisit")).mapInArrow(_write, "record binary")
+    alike = narrow.groupBy("page_id", "digest", "n").agg(F.count(F.lit(1)).alias("rows"))
+    shared = alike.where(F.col("n") >= least).groupBy("digest").agg(F.min("page_id").alias("least"), F.min(F.when(F.col("page_id").isNotNull(), F.struct("page_id", "rows"))).alias("first"), F.sum("rows").alias("times")).where("times > 1")
+    found = alike.join(shared.select("digest", "least", (F.col("first.rows") > 1).alias("target_many")), "digest", "left")
+    revisit = F.coalesce(F.col("page_id") > F.col("least"), F.lit(False))
+    marks = found.select("page_id", "digest", F.when(revisit, F.col("least")).alias("least"), (F.col("rows") > 1).alias("many"), F.when(revisit, F.col("target_many")).alias("target_many")).where("page_id is not null and (least is not null or many)")
+    marks = written(marks, "marks")
+    if marks.count() <= BROADCAST_ROWS:
+        marks = F.broadcast(marks)
+    marked = rows.join(marks, ["page_id", "digest"], "left")
+    many = F.col("page_id").isNull() | F.coalesce("many", F.lit(False))
+    records = marked.select("page_id", F.monotonically_increasing_id().alias("row"), "url", "payload", "digest", "least", many.alias("many"), F.coalesce("target_many", F.lit(False)).alias("target_many")).mapInArrow(_write, "record binary")
     records.select(F.col("record").cast("string").alias("value")).write.option("lineSep", "\r\n").option("compression", "gzip").text(path)
 
 
@@ -130,9 +151,10 @@ def _parse(record: bytes) -> dict:
     alone = "WARC-Segment-Number" not in fields
     out = {"page_id": _key(fields["WARC-Record-ID"]), "record_type": kind, "number": number, "refers_to": None, "url": None, "origin": None, "chunk": None, "payload_bytes": None, "payload_digest": None}
     if kind != "continuation":
-        out["url"] = fields.get("WARC-Target-URI", "").replace("%2F", "/").replace("%0A", "\n").replace("%0D", "\r").replace("%25", "%") or None
+        url = fields.get("WARC-Target-URI", "")
+        out["url"] = (url.replace("%2F", "/").replace("%0A", "\n").replace("%0D", "\r").replace("%25", "%") if "X-Escaped" in fields else url) or None
     if kind == "revisit":
-        out |= {"refers_to": _key(fields["WARC-Refers-To"]), "payload_bytes": int(fields["X-Payload-Length"]), "payload_digest": fields["WARC-Payload-Digest"].removeprefix("sha256:")}
+        out |= {"refers_to": int(fields["X-Refers-To-Page"]), "payload_bytes": int(fields["X-Payload-Length"]), "payload_digest": fields["WARC-Payload-Digest"].removeprefix("sha256:")}
     elif alone:
         out |= {"payload_bytes": len(part), "payload_digest": hashlib.sha256(part).hexdigest()}
     else:
