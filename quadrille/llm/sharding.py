@@ -9,8 +9,9 @@ they are ranked by, buckets are counted, counts are summed up, and ranks are num
 sizes and checksums are shuffled; texts are read once and stay.
 
 Defined cases: a null source is a source of its own; a null text has size 1 and checksum 0; rows given twice are
-rows of their own, ranked by checksum and size where ids are equal; an empty table gives no rows; with fewer rows
-than shards the last shards are empty. Other columns are not read.
+rows of their own: those alike in id, size, checksum and source are numbered, and the number takes part in the order, so
+that neither they nor null ids fall in one bucket; an empty table gives no rows; with fewer rows than shards the last
+shards are empty; texts of any length are only measured. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -34,6 +35,14 @@ def _numbered(df: DataFrame, group: list[str], bucket: str, order: list[str], na
     return df.withColumn("_at", at).join(before.drop("_n"), keys).withColumn(name, F.col("_before") + F.col("_at") - 1).drop("_before", "_at")
 
 
+def _copies(rows: DataFrame) -> DataFrame:
+    """rows with `copy`: 0.. among rows that are alike; they are counted task by task first, so no task sees all of many."""
+    alike = rows.columns
+    counted = rows.groupBy(*alike, F.spark_partition_id().alias("_task")).agg(F.count("*").alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy(*alike).orderBy("_task")) - F.col("_n")
+    return counted.withColumn("_before", before).select(*alike, F.explode(F.sequence(F.col("_before"), F.col("_before") + F.col("_n") - 1)).alias("copy"))
+
+
 def interleave(docs: DataFrame, shards: int = SHARDS, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """A row for each row of docs: its id, size, text_crc32, source, shard, slot (0.. within the shard)."""
     text = F.col(f"`{text_col}`").cast("string")
@@ -42,8 +51,8 @@ def interleave(docs: DataFrame, shards: int = SHARDS, seed: int = SEED, id_col:
         (F.coalesce(F.octet_length(text), F.lit(0)).cast("long") + 1).alias("size"),
         F.coalesce(F.crc32(text.cast("binary")), F.lit(0).cast("long")).alias("text_crc32"),
         F.coalesce(F.concat(F.lit("s"), F.col(f"`{source_col}`").cast("string")), F.lit("")).alias("source"),
-    ).withColumn("turn", F.xxhash64("id", F.lit(seed)))
-    rows = written(rows, "rows")
+    )
+    rows = written(_copies(rows).withColumn("turn", F.xxhash64("id", "text_crc32", "size", "copy", F.lit(seed))), "rows")
     totals = written(rows.groupBy("source").agg(F.count("*").alias("of")), "sources")
     n = totals.agg(F.sum("of")).first()[0] or 0
     # 2**k buckets of the hash, so many that a bucket of the largest source holds about BUCKET_ROWS
@@ -52,7 +61,7 @@ def interleave(docs: DataFrame, shards: int = SHARDS, seed: int = SEED, id_col:
     top = F.shiftrightunsigned("turn", 64 - bits) if bits else F.lit(0).cast("long")
     # ordered as unsigned, as its leading bits are
     ordered = rows.withColumn("bucket", top).withColumn("key", F.shiftrightunsigned("turn", 1))
-    by_source = _numbered(ordered, ["source"], "bucket", ["key", "turn", "id", "text_crc32", "size"], "rank").drop("bucket", "key", "turn")
+    by_source = _numbered(ordered, ["source"], "bucket", ["key", "turn", "id", "text_crc32", "size", "copy"], "rank").drop("bucket", "key", "turn")
     parts = max(1, min(n // BUCKET_ROWS, BUCKETS))
     part = by_source.join(totals, "source").withColumn("fraction", (F.col("rank") * 2 + 1) / (F.col("of") * 2))
     dealt = part.withColumn("bucket", F.least(F.floor(F.col("fraction") * parts), F.lit(parts - 1)).cast("long"))
