@@ -9,8 +9,10 @@ Learning reads at most SAMPLE labelled rows, those first by a seeded hash of the
 every text is scored.
 
 Defined cases: a null or empty text has no features and gets the score of the intercept; a document labelled more
-than once counts as toxic if its mean label is at least 0.5; null labels don't count; without any labelled row every
-score is 0. Rows given twice are scored twice. Other columns pass through unread, and never enter a score.
+than once counts as toxic if its mean label is at least 0.5; null labels and labels without an id don't count; without any
+labelled row every score is 0. Of texts that share an id the one with the least hash is learned from; each is scored. Rows
+given twice are scored twice. A text longer than BLOCK is a block of its own; in the learning task a text takes at most
+2**BITS places of 4 bytes, whatever its length. Other columns pass through unread, and never enter a score.
 """
 
 from __future__ import annotations
@@ -92,7 +94,8 @@ def learn(labelled: DataFrame, docs: DataFrame, id_col: str = "doc_id", text_col
     label = labelled.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).cast("long").alias("id")).agg((F.avg(label_col) >= 0.5).cast("int").alias("label"))
     chosen = label.withColumn("turn", F.xxhash64("id", F.lit(11))).orderBy("turn", "id").limit(sample)  # so many rows at most: small enough to broadcast
     texts = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    rows = texts.join(F.broadcast(chosen), "id").dropDuplicates(["id"]).repartition(1).sortWithinPartitions("turn", "id")
+    named = texts.join(F.broadcast(chosen), "id").groupBy("id", "turn", "label").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+    rows = named.repartition(1).sortWithinPartitions("turn", "id")
     return {r["place"]: r["weight"] for r in rows.select("text", "label").mapInArrow(w.trimmed(_learn(bits, epochs)), "place long, weight double").collect()}
 
 
