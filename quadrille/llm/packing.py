@@ -10,11 +10,13 @@
    gives its sequence and offset. Ranks come from counts of hash buckets, so that no length is in one task.
 
 Defined cases: a null text is empty; an empty text is the end id alone; rows given twice are packed twice; other
-columns are not read. Sequence numbers run from 0 without gaps.
+columns are not read. Sequence numbers run from 0 without gaps. Rows alike in everything are dealt to buckets by chance,
+which is written with the pieces. A text of any length is tokenized word by word; a task holds the ids of one text.
 """
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 from array import array
@@ -53,6 +55,7 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
+        self.known = self._splits_so(path)
         self.merges = self.whole.model.tokenize
         visible = [*range(33, 127), *range(161, 173), *range(174, 256)]
         hidden = [b for b in range(256) if b not in visible]
@@ -60,6 +63,21 @@ class WordTokenizer:
         self.words: dict[bytes, bytes] = {}
         self.parts: dict[str, bytes] = {}
 
+    @classmethod
+    def _splits_so(cls, path: str) -> bool:
+        """Whether a tokenizer's file says what this class does by itself: if not, the library takes whole texts."""
+        with open(path, encoding="utf-8") as f:
+            d = json.load(f)
+        kind = lambda x: x.get("type") if isinstance(x, dict) else None
+        normal, before = d.get("normalizer") or {}, d.get("pre_tokenizer") or {}
+        steps, splits = normal.get("normalizers", []), before.get("pretokenizers", [])
+        return (
+            list(map(kind, steps)) == ["NFC", "Replace", "Lowercase"] and steps[1]["pattern"] == {"Regex": r"\s+"} and steps[1]["content"] == " "
+            and list(map(kind, splits)) == ["Split", "ByteLevel"] and splits[0]["pattern"] == {"Regex": cls.SPLIT.pattern} and splits[0]["behavior"] == "Removed" and splits[0]["invert"]
+            and not splits[1]["add_prefix_space"] and not splits[1].get("use_regex", True) and kind(d.get("model")) == "BPE" and not d["model"].get("dropout")
+            and all(x["content"].startswith("<|") and not x["lstrip"] and not x["rstrip"] for x in d.get("added_tokens", []))
+        )
+
     def part(self, part: str) -> bytes:
         got = self.parts.get(part)
         if got is None:
@@ -85,6 +103,8 @@ class WordTokenizer:
 
     def __call__(self, text: bytes) -> bytes:
         """The ids as little-endian 32-bit values."""
+        if not self.known:
+            return np.array(self.whole.encode(text.decode(), add_special_tokens=False).ids, dtype="<u4").tobytes()
         have, out = self.words.get, []
         for raw in text.split():
             got = have(raw)
@@ -293,10 +313,10 @@ def ranked(pieces: DataFrame, histogram: dict[int, int]) -> DataFrame:
     splits = F.lit(1)
     if many:
         splits = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in many.items() for x in kv]), F.col("length").cast("int")), F.lit(1))
-    dealt = pieces.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece"), splits))
+    dealt = pieces.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece", "salt"), splits))
     sizes = dealt.groupBy("length", "bucket").agg(F.count("*").alias("n"))
     before = sizes.withColumn("before", F.sum("n").over(Window.partitionBy("length").orderBy("bucket")) - F.col("n")).drop("n")
-    at = F.row_number().over(Window.partitionBy("length", "bucket").orderBy("doc_id", "piece", "ids_crc32"))
+    at = F.row_number().over(Window.partitionBy("length", "bucket").orderBy("doc_id", "piece", "ids_crc32", "salt"))
     return dealt.withColumn("at", at).join(before, ["length", "bucket"]).withColumn("rank", F.col("before") + F.col("at") - 1)
 
 
@@ -307,7 +327,7 @@ def pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY
 
         tokenizer = public_tokenizers.path("word_bpe_49k.json")
     narrow = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    pieces = written(narrow.mapInArrow(w.trimmed(_pieces(tokenizer, capacity, end_id)), "doc_id long, piece int, start long, length long, ids_crc32 long"), "pieces")
+    pieces = written(narrow.mapInArrow(w.trimmed(_pieces(tokenizer, capacity, end_id)), "doc_id long, piece int, start long, length long, ids_crc32 long").withColumn("salt", F.rand(5)), "pieces")
     histogram = {r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}  # at most `capacity` rows
     first, start, sequence, offset = _ranges(plan(histogram, capacity))
     table = np.zeros(capacity + 1, dtype=np.int64)
