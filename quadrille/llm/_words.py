@@ -28,6 +28,8 @@ def splitmix(x: np.ndarray) -> np.ndarray:
 
 #: A random 64-bit value for each byte.
 BYTE_VALUES = splitmix(np.arange(1, 257, dtype=np.uint64) * U64(0x9E3779B97F4A7C15))
+#: Other values, and a base to go with them, for a second hash of words.
+OTHER_VALUES, OTHER_BYTES = splitmix(np.arange(1, 257, dtype=np.uint64) * U64(0xD1342543DE82EF95) + U64(0x2545F4914F6CDD1D)), 0xC2B2AE3D27D4EB4F
 #: True at the six ASCII white-space bytes.
 ASCII_SPACE = np.isin(np.arange(256), [0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D])
 #: True at every ASCII byte that is neither a letter nor a digit.
@@ -92,18 +94,18 @@ class Words:
     def __len__(self) -> int:
         return len(self.starts)
 
-    def hashes(self, chunk: int = 1 << 20) -> np.ndarray:
-        """A 64-bit hash of each word, by prefix sums over the bytes, a chunk of bytes at a time."""
+    def hashes(self, chunk: int = 1 << 20, base: int = BASE_BYTES, values: np.ndarray = BYTE_VALUES) -> np.ndarray:
+        """A 64-bit hash of each word, by prefix sums over the bytes, a chunk of bytes at a time; other bases and values give an independent one."""
         out = np.empty(len(self.starts), dtype=np.uint64)
         first, total = 0, len(self.starts)
         while first < total:
             at = self.starts[first]
             last = max(first + 1, int(np.searchsorted(self.ends, at + chunk, side="right")))
             part = self.data[at : self.ends[last - 1]]
-            up, down = powers(BASE_BYTES, len(part) + 1)
+            up, down = powers(base, len(part) + 1)
             sums = np.empty(len(part) + 1, dtype=np.uint64)
             sums[0] = 0
-            np.cumsum(BYTE_VALUES[part] * up[: len(part)], out=sums[1:])
+            np.cumsum(values[part] * up[: len(part)], out=sums[1:])
             s, e = self.starts[first:last] - at, self.ends[first:last] - at
             out[first:last] = (sums[e] - sums[s]) * down[s] + (e - s).astype(np.uint64)
             first = last
