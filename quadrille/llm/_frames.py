@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import gc
 import shutil
 import tempfile
@@ -36,6 +37,20 @@ def delete(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+_made: list[list[str]] = []
+
+
+@contextlib.contextmanager
+def swept(spark: SparkSession):
+    """Deletes, at its end, every step that was written inside: for callers that have written their own result by then."""
+    _made.append([])
+    try:
+        yield
+    finally:
+        for path in _made.pop():
+            delete(spark, path)
+
+
 _DROP_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
@@ -47,6 +62,8 @@ def written(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
     """
     spark = df.sparkSession
     path = scratch(spark, name)
+    if _made:
+        _made[-1].append(path)
     had = spark.conf.get(_DROP_SHUFFLES, None)
     spark.conf.set(_DROP_SHUFFLES, "true")  # of this write only: what it shuffled isn't read again
     try:
