@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quadrille.llm import decontamination, packing, simhash, substring_dedup, toxicity
-from quadrille.llm._frames import scratch, table
+from quadrille.llm._frames import delete, scratch, swept, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -15,7 +15,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that with the smallest id, of each group of near duplicates."""
+    """One row of each group of near duplicates: that with the smallest id."""
     return simhash.one_of_each(docs)
 
 
@@ -45,14 +45,19 @@ STAGES = [
     ("best-fit packing", pack),
 ]
 
-#: No stage can be said in SQL; tests compare them with brute force.
+#: Learning, fingerprints, seeds and packing can't be said in SQL; tests/llm compares every stage with a plain version on a
+#: small corpus, and with what its operator decides on the smallest tables.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """The last stage's rows. A stage's own steps, and what the stage before it wrote, are deleted once it is written."""
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
         path = scratch(spark, f"pipeline-{name.replace(' ', '-')}")
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        with swept(spark):
+            stage(spark, docs, sf_dir).write.parquet(path)
+        if before:
+            delete(spark, before)
+        docs, before = spark.read.parquet(path), path
     return docs
