@@ -11,7 +11,8 @@ count as pieces, so every word can be cut. Short words are looked up in a bounde
 run through the automaton every time.
 
 Defined cases: a null or empty text has no words and no tokens; rows given twice are counted twice; null ids pass
-through; other columns are not read.
+through; other columns are not read. A text of any length is read word by word, and a word of any length byte by byte, in
+time linear in it; a task holds one text.
 """
 
 from __future__ import annotations
