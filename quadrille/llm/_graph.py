@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._frames import written
+from ._frames import discard, written
 
 
 def _large_star(e: DataFrame) -> DataFrame:
@@ -30,7 +30,8 @@ def components(edges: DataFrame) -> DataFrame:
     e = written(edges.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     mark = _mark(e)
     while mark[0]:
-        e = written(_small_star(_large_star(e)), "edges")
+        e, before = written(_small_star(_large_star(e)), "edges"), e
+        discard(before)
         if (new := _mark(e)) == mark:
             break
         mark = new

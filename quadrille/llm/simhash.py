@@ -8,7 +8,10 @@ is checked on all 64 bits. Equal fingerprints are one node; linked nodes form co
 
 Where one segment value is shared by many fingerprints (a large group of near copies), the value alone selects too
 little: such values are looked up together with the pieces of the rest of the fingerprint, of which one at least
-must be equal.
+must be equal. Where even these are shared by more than CROWD fingerprints, components don't need all their links: each
+fingerprint looks up the centres in the ball of half the distance (rounded up) around it, and every fingerprint there is
+linked with the least of those that have the centre in the ball of half the distance rounded down. All of these are links,
+two linked fingerprints always meet at a centre, and their number grows with the fingerprints, not with their pairs.
 
 Defined cases: null, empty and all-space texts have fingerprint zero and link like any other; a text of fewer words
 than a shingle is one shingle; component_id is the least id, of any row with a linked fingerprint, that isn't null, or
@@ -34,6 +37,8 @@ from ._graph import components
 SHINGLE, DISTANCE, SEED = 3, 3, 42
 #: A segment value with more distinct fingerprints than this is split further.
 HOT = 64
+#: A segment value and piece with more distinct fingerprints than this is linked through centres.
+CROWD = 4_096
 
 
 def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
@@ -108,8 +113,20 @@ def _pieces(low: int, width: int, count: int) -> list[tuple[int, int]]:
     return out
 
 
-def links(nodes: DataFrame, distance: int = DISTANCE, hot: int = HOT) -> DataFrame:
-    """(a, b), a < b: the fingerprints in `nodes` (fp, distinct) that differ in at most `distance` bits."""
+def _through_centres(fps: DataFrame, distance: int) -> DataFrame:
+    """(a, b), a < b: links between the fingerprints in fps (fp, distinct), enough to hold every component together."""
+    near, far = distance // 2, distance - distance // 2
+    mask = F.explode(F.array(*[F.lit(m).cast("long") for m in _ball(64, far)]))
+    probes = fps.select("fp", mask.alias("m")).select("fp", F.col("fp").bitwiseXOR(F.col("m")).alias("centre"), (F.bit_count("m") <= near).alias("near"))
+    heads = probes.where("near").groupBy("centre").agg(F.min("fp").alias("head"))
+    return probes.join(heads, "centre").where("fp != head").select(F.least("fp", "head").alias("a"), F.greatest("fp", "head").alias("b")).distinct()
+
+
+def links(nodes: DataFrame, distance: int = DISTANCE, hot: int = HOT, crowd: int | None = None) -> DataFrame:
+    """(a, b), a < b: the fingerprints in `nodes` (fp, distinct) that differ in at most `distance` bits.
+
+    crowd: how many may share a key before their links are thinned out to those that hold the components together.
+    """
     found = None
     count = _segments(distance)
     for s, (low, width) in enumerate(_layout(count)):
@@ -127,8 +144,15 @@ def links(nodes: DataFrame, distance: int = DISTANCE, hot: int = HOT) -> DataFra
             continue
         piece = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), _bits(F.col("fp"), a, n).alias("x")) for i, (a, n) in enumerate(pieces)]))
         split = lambda d: d.select("fp", "v", piece.alias("q")).select("fp", "v", F.col("q.i").alias("i"), F.col("q.x").alias("x"))
-        dense = pair(split(probes.join(crowded, "v", "left_semi")), split(keyed.join(crowded, "v", "left_semi")), ["v", "i", "x"])
-        both = plain.union(dense)
+        key = ["v", "i", "x"]
+        asking, there = split(probes.join(crowded, "v", "left_semi")), split(keyed.join(crowded, "v", "left_semi"))
+        if crowd is None:
+            both = plain.union(pair(asking, there, key))
+        else:
+            packed = written(there.groupBy(*key).count().where(F.col("count") > crowd).select(*key), f"crowd-{s}")
+            both = plain.union(pair(asking, there.join(packed, key, "left_anti"), key))
+            if not packed.isEmpty():
+                both = both.union(_through_centres(written(asking.join(packed, key, "left_semi").select("fp").distinct(), f"crowd-{s}"), distance))
         found = both if found is None else found.union(both)
     return found.distinct()
 
@@ -136,7 +160,7 @@ def links(nodes: DataFrame, distance: int = DISTANCE, hot: int = HOT) -> DataFra
 def _clusters(rows: DataFrame, key: Column, distance: int) -> DataFrame:
     """(fp, best): the least `key` of all rows (which have fp) in a fingerprint's component; written, one row a fingerprint."""
     nodes = written(rows.groupBy("fp").agg(F.min(key).alias("least")), "nodes")
-    linked = components(links(nodes.select("fp"), distance)).withColumnRenamed("node", "fp")
+    linked = components(links(nodes.select("fp"), distance, crowd=CROWD)).withColumnRenamed("node", "fp")
     member = linked.join(nodes, "fp")
     smallest = member.groupBy("component").agg(F.min("least").alias("smallest"))
     joined = member.join(smallest, "component").select("fp", F.col("smallest").alias("s"))

@@ -80,3 +80,13 @@ def test_one_hot_conversation_is_numbered_in_ranges(spark):
     for v in by.values():
         v.sort()
         assert [n for n, _ in v] == list(range(1, len(v) + 1)) and [t for _, t in v] == sorted(t for _, t in v)
+
+
+def test_very_long_texts_and_other_columns(spark):
+    long = "</s> word \\ " * 200_000
+    rows = [(1, 1, None, "user", long, 0.0, "x", "y", "z"), (1, 2, 1, "assistant", long + "end", 1.0, "x", "y", "z")]
+    df = spark.createDataFrame(rows, SCHEMA)
+    out = chat.digests(chat.conversations(df)).collect()
+    import hashlib
+
+    assert out[0].loss_chars == len(long) + 3 and out[0].loss_sha256 == hashlib.sha256((long + "end").encode()).hexdigest()

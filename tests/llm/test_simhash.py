@@ -125,3 +125,58 @@ def test_survivors_are_decided_by_row(spark):
         assert len(mine) == 1 and order(mine[0][0]) == min(order(m[0]) for m in members)
     assert {(5, "B " * 40, "x", "c"), (1, "A " * 40, "x", "c"), (7, "C c1", "x", "c"), (7, "D d1", "x", "c")} <= set(kept)
     assert sorted(kept, key=repr) == sorted(map(tuple, one_of_each(df.repartition(3)).collect()), key=repr)
+
+
+def test_crowds_keep_their_components(spark):
+    from quadrille.llm._graph import components
+    from quadrille.llm.simhash import _through_centres
+
+    r = random.Random(13)
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    fps = set()
+    for _ in range(6):
+        f = r.getrandbits(64)
+        for _ in range(60):
+            g = f
+            for _ in range(r.randrange(5)):
+                g ^= 1 << r.randrange(64)
+            fps.add(g)
+            f = g if r.random() < 0.1 else f
+    nodes = spark.createDataFrame([(signed(f),) for f in fps], "fp long")
+    rows = sorted(fps)
+    for distance in (1, 2, 3):
+        part = {f: f for f in rows}
+        for _ in rows:
+            moved = False
+            for a in rows:
+                for b in rows:
+                    if (a ^ b).bit_count() <= distance and part[a] != part[b]:
+                        part[a] = part[b] = min(part[a], part[b])
+                        moved = True
+            if not moved:
+                break
+        want = {}
+        for f, p in part.items():
+            want.setdefault(p, set()).add(signed(f))
+        want = sorted(map(sorted, (v for v in want.values() if len(v) > 1)))
+
+        def groups(edges):
+            out = {}
+            for x in components(edges).collect():
+                out.setdefault(x.component, []).append(x.node)
+            return sorted(map(sorted, out.values()))
+
+        thin = _through_centres(nodes, distance)
+        pairs = [(x.a, x.b) for x in thin.collect()]
+        assert all(((a ^ b) & (1 << 64) - 1).bit_count() <= distance and a < b for a, b in pairs)
+        assert groups(thin) == want
+        assert groups(links(nodes, distance, 2, 3)) == want
+
+
+def test_many_copies_and_null_ids(spark):
+    rows = [(None if i % 2 else i, "same words of one text") for i in range(3000)] + [(None, f"own text number {i} of its kind {i * 7919 % 1009}") for i in range(50)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found = near_duplicates(df).collect()
+    assert len(found) == len(rows) and {x.component_id for x in found if x.fp == found[0].fp} <= {0, None}
+    kept = one_of_each(df).collect()
+    assert [x.doc_id for x in kept if x.text.startswith("same")] == [0]
