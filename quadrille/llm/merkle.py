@@ -27,15 +27,20 @@ from array import array
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._frames import partitions, text_bytes, written
+from . import _words as w
+from ._frames import dealt, partitions, text_bytes
 
 SECTION, LEAF_WORDS, SHORT_WORDS, DIGEST = 8, 8, 16, 16
 #: Bytes of text in a run of neighbouring documents.
 RUN_BYTES = 16 << 20
+#: Rows alike in id and text that one run takes at least.
+HEAVY = 10_000
 _PARAGRAPH = re.compile(rb"[^\n]*+\n|[^\n]++")
 #: A word and the white space behind it.
 _LEAF = re.compile(rb"\S++\s*+|\s++")
@@ -162,11 +167,8 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - half] + following[:half]
 
 
-_RESULT = [("id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64()), ("first_section", pa.int32()), ("first_paragraph", pa.int32()), ("n_sections", pa.int32()), ("n_leaves", pa.int64()), ("tree", pa.binary())]
-#: Edge rows carry the first (1) and last (2) text of a run.
-_OUT = pa.schema([*_RESULT, ("run", pa.int32()), ("edge", pa.int32()), ("text", pa.string())])
-_DDL = "id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, first_section int, first_paragraph int, n_sections int, n_leaves long, tree binary, run int, edge int, text string"
-_NAMES = [n for n, _ in _RESULT]
+_OUT = pa.schema([("id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64()), ("first_section", pa.int32()), ("first_paragraph", pa.int32()), ("n_sections", pa.int32()), ("n_leaves", pa.int64()), ("tree", pa.binary())])
+_DDL = "id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, first_section int, first_paragraph int, n_sections int, n_leaves long, tree binary"
 
 
 def _pair(key: int | None, text: str, tree: Tree, following: str, next_tree: Tree) -> tuple:
@@ -181,51 +183,73 @@ def _table(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(cols, _OUT, strict=True)], schema=_OUT)
 
 
+#: Kinds of rows in a run, in order: its documents, the first document of the next run, copies that follow one another.
+_OWN, _NEXT, _COPY = 0, 1, 2
+
+
 def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Results of documents whose next one is in the same run, and the run's edges."""
-    before, run = None, 0
-    edge = lambda which: (before[0], *[None] * (len(_RESULT) - 1), run, which, before[1])
+    """Results of rows (run, kind, id, text) in order: a document's next is the row behind it, a copy's is a copy."""
+    before = None
     for batch in batches:
         rows = []
-        for key, value, run in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):  # noqa: B007
+        for kind, key, value in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3), strict=True):
             text = value.as_py()
-            now = (key, text, Tree(text.encode()))
+            tree = Tree(text.encode())
+            if kind == _COPY:
+                rows.append(_pair(key, text, tree, text, tree))
+                continue
             if before is not None:
-                rows.append((*_pair(*before, text, now[2]), None, 0, None))
-                before = now
-            else:
-                before = now
-                rows.append(edge(1))
+                rows.append(_pair(*before, text, tree))
+            before = (key, text, tree) if kind == _OWN else None
         yield _table(rows)
-    if before is not None:
-        yield _table([edge(2)])
 
 
-def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        rows = [(*_pair(k, t, Tree(t.encode()), n, Tree(n.encode())), None, 0, None) for k, t, n in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True)]
-        yield _table(rows)
+#: Runs at most: as many keys are known to every task.
+MAX_RUNS = 20_000
+_KEY = ["none", "down", "h"]
+_KEYS = np.dtype([("none", "?"), ("down", "<i8"), ("h", "<i8")])
+
+
+def _dealer(cuts: np.ndarray, heavy: np.ndarray, parts: np.ndarray):
+    """(none, down, h, chance) -> run * 4 + kind: the run that a key falls into; copies of a heavy key but one part of them go to further runs."""
+
+    def deal(none: pd.Series, down: pd.Series, h: pd.Series, chance: pd.Series) -> pd.Series:
+        keys = np.empty(len(none), dtype=_KEYS)
+        keys["none"], keys["down"], keys["h"] = none, down, h
+        run = np.searchsorted(cuts, keys, side="right") - 1
+        kind = np.full(len(keys), _OWN)
+        if len(heavy):
+            at = np.minimum(np.searchsorted(heavy, keys), len(heavy) - 1)
+            part = np.where(heavy[at] == keys, (chance.to_numpy() * parts[at]).astype(np.int64), 0)
+            kind, run = np.where(part > 0, _COPY, kind), (run + part) % len(cuts)
+        return pd.Series(run.astype(np.int64) * 4 + kind)
+
+    return F.pandas_udf(deal, "long")
 
 
 def compared(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Each document against its edited text and the next document in descending order of ids (after the last, the first).
 
-    Texts are dealt once, into runs of neighbouring ids; the last document of each run meets the first of the next
-    through a table of the runs' edges.
+    Keys alone are sorted into ranges first; the first key of each range is known to every task then (MAX_RUNS at most), and
+    texts are dealt once, into the runs between these keys. The document with such a key is also sent to the run before.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"))
-    runs = max(partitions(spark), -(-text_bytes(rows) // RUN_BYTES))
-    # equal rows are told apart by chance, so that many of them are several runs
-    rows = rows.withColumn("tie", F.rand(11))
-    order = [F.col("id").desc_nulls_last(), F.xxhash64("text"), F.col("tie")]
-    dealt = rows.repartitionByRange(runs, *order).sortWithinPartitions(*order).select("id", "text", F.spark_partition_id().alias("run"))
-    out = written(dealt.mapInArrow(_neighbours, _DDL), "runs")
-    edges = out.where("edge > 0")
-    first, last = edges.where("edge = 1").select("run", "text"), edges.where("edge = 2").select("run", "id", "text")
-    # one narrow row a run
-    numbered = first.select("run").withColumn("next", F.lead("run").over(Window.orderBy("run"))).withColumn("least", F.min("run").over(Window.partitionBy()))
-    link = numbered.select("run", F.coalesce("next", "least").alias("next"))
-    met = last.join(link, "run").join(first.select(F.col("run").alias("next"), F.col("text").alias("following")), "next")
-    both = out.where("edge = 0").select(_NAMES).union(met.select("id", "text", "following").mapInArrow(_across, _DDL).select(_NAMES))
-    return both.withColumnRenamed("id", id_col)
+    keyed = rows.select(F.col("id").isNull().alias("none"), F.coalesce(F.bitwise_not("id"), F.lit(0)).cast("long").alias("down"), F.xxhash64("text").alias("h"), "id", "text")
+    wanted = max(partitions(spark), min(-(-text_bytes(rows) // RUN_BYTES), MAX_RUNS))
+    ranges = keyed.select(*_KEY).repartitionByRange(wanted, *_KEY).groupBy(F.spark_partition_id()).agg(F.min(F.struct(*_KEY)).alias("first"), F.count(F.lit(1)).alias("n")).collect()
+    cuts = np.array(sorted(tuple(r["first"]) for r in ranges), dtype=_KEYS)
+    runs = max(1, len(cuts))
+    # a key that alone is more than a run: fewer of them than runs
+    large = max(HEAVY, sum(r["n"] for r in ranges) // runs)
+    many = sorted((*(r[c] for c in _KEY), r["n"]) for r in keyed.groupBy(*_KEY).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > large).collect())
+    heavy, parts = np.array([m[:3] for m in many], dtype=_KEYS), np.array([-(-m[3] // large) for m in many], dtype=np.int64)
+    to = _dealer(cuts, heavy, parts)
+    mine = keyed.withColumn("to", to(*_KEY, F.rand(11)))
+    firsts = spark.createDataFrame([(*(x.item() for x in c), (i - 1) % runs) for i, c in enumerate(cuts)], "none boolean, down long, h long, run long")
+    after = keyed.join(F.broadcast(firsts), _KEY).groupBy("run").agg(F.first("text").alias("text"))
+    own = mine.select(F.expr("to div 4").cast("int").alias("run"), (F.col("to") % 4).cast("int").alias("kind"), "id", "text", *_KEY)
+    none = [F.lit(None).cast(t).alias(c) for c, t in zip(_KEY, ("boolean", "long", "long"), strict=True)]
+    every = own.union(after.select(F.col("run").cast("int"), F.lit(_NEXT), F.lit(None).cast("long"), "text", *none))
+    ordered = dealt(every, runs, "run").sortWithinPartitions("run", "kind", *_KEY)
+    return ordered.select("run", "kind", "id", "text").mapInArrow(w.trimmed(_neighbours), _DDL).withColumnRenamed("id", id_col)

@@ -109,3 +109,24 @@ def test_emitted_trees_give_the_likeness_again(spark):
     roots = {v.root.hex(): v for v in by.values()}
     assert all(bytes(x.tree) == roots[x.fingerprint].encoded() and 0 <= x.near_edited <= 1 and 0 <= x.near_next <= 1 for x in got)
     assert sum(x.fingerprint == by["same"].root.hex() and x.near_next == 1.0 for x in got) >= 8
+
+
+def test_neighbours_in_many_runs_and_of_heavy_keys(spark, monkeypatch):
+    monkeypatch.setattr(merkle, "HEAVY", 5)
+    monkeypatch.setattr(merkle, "RUN_BYTES", 300)
+    r = random.Random(44)
+    rows = [(r.choice([None, i, i, -(1 << 63), (1 << 63) - 1]), f"text {r.randrange(40)} of {i % 7}") for i in range(150)] + [(3, "copies of one")] * 120 + [(None, None)] * 30
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    got = merkle.compared(df).collect()
+    import xxhash
+
+    def h(t):
+        v = xxhash.xxh64_intdigest(t.encode(), 42)
+        return v - (1 << 64) if v >> 63 else v
+
+    order = sorted(((d, t or "") for d, t in rows), key=lambda x: (x[0] is None, -(x[0] or 0), h(x[1])))
+    want = Counter()
+    for k, (d, t) in enumerate(order):
+        following = order[(k + 1) % len(order)][1]
+        want[d, len(t), hashlib.sha256(merkle.edited(t, following).encode()).hexdigest(), merkle.Tree(t.encode()).likeness(merkle.Tree(following.encode()))] += 1
+    assert Counter((x.doc_id, x.n_chars, x.edited_sha256, x.near_next) for x in got) == want
