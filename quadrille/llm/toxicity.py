@@ -5,8 +5,8 @@ case of ASCII and Latin-1 folded), its word pairs, and its pairs with one word b
 hasn't. Each coordinate has its own learning rate, and L1 keeps most weights at zero, so what is broadcast is the
 list of the others: its size is bounded by the sample, not by the corpus.
 
-Learning reads at most SAMPLE labelled rows, those first by a seeded hash of their id, in that order, in one task;
-every text is scored.
+Learning takes at most SAMPLE labelled rows, those first by a seeded hash of their id; their features are made where they
+lie, and one task goes through them in that order. Every text is scored.
 
 Defined cases: a null or empty text has no features and gets the score of the intercept; a document labelled more
 than once counts as toxic if its mean label is at least 0.5; null labels and labels without an id don't count; without any
@@ -69,18 +69,29 @@ def fit(places: np.ndarray, cut: np.ndarray, labels: np.ndarray, bits: int = BIT
     return kept, ww[kept], float(ww[size])
 
 
-def _learn(bits: int, epochs: int):
+def _distinct(bits: int):
+    """(turn, id, label, places): the distinct places of each text."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        places, lens, labels = [], [], []
         for batch in batches:
-            y = batch.column(batch.schema.get_field_index("label")).to_numpy(zero_copy_only=False)
             for a, b, data, off in w.blocks(batch, "text", BLOCK):
                 doc, place = features(data, off, bits)
                 key = np.unique(doc << bits | place)
-                cut = np.searchsorted(key, np.arange(b - a + 1) << bits)
-                places.append((key & (1 << bits) - 1).astype(np.int32))
-                lens.append(np.diff(cut))
-                labels += y[a:b].tolist()
+                cut = np.searchsorted(key, np.arange(b - a + 1) << bits).astype(np.int32)
+                places = pa.ListArray.from_arrays(pa.array(cut), pa.array((key & (1 << bits) - 1).astype(np.int32)))
+                yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)).slice(a, b - a) for c in ("turn", "id", "label")), places], names=["turn", "id", "label", "places"])
+
+    return run
+
+
+def _learn(bits: int, epochs: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        places, lens, labels = [], [], []
+        for batch in batches:
+            lists = batch.column(batch.schema.get_field_index("places"))
+            places.append(lists.flatten().to_numpy())
+            lens.append(np.diff(lists.offsets.to_numpy()))
+            labels += batch.column(batch.schema.get_field_index("label")).to_pylist()
         if labels:
             cut = np.concatenate(([0], np.cumsum(np.concatenate(lens))))
             at, ww, intercept = fit(np.concatenate(places), cut, np.array(labels, dtype=float), bits, epochs)
@@ -95,8 +106,9 @@ def learn(labelled: DataFrame, docs: DataFrame, id_col: str = "doc_id", text_col
     chosen = label.withColumn("turn", F.xxhash64("id", F.lit(11))).orderBy("turn", "id").limit(sample)  # so many rows at most: small enough to broadcast
     texts = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     named = texts.join(F.broadcast(chosen), "id").groupBy("id", "turn", "label").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
-    rows = named.repartition(1).sortWithinPartitions("turn", "id")
-    return {r["place"]: r["weight"] for r in rows.select("text", "label").mapInArrow(w.trimmed(_learn(bits, epochs)), "place long, weight double").collect()}
+    places = named.select("turn", "id", "label", "text").mapInArrow(w.trimmed(_distinct(bits)), "turn long, id long, label int, places array<int>")
+    rows = places.repartition(1).sortWithinPartitions("turn", "id")  # at most `sample` rows, without their texts
+    return {r["place"]: r["weight"] for r in rows.mapInArrow(w.trimmed(_learn(bits, epochs)), "place long, weight double").collect()}
 
 
 def _score(at: np.ndarray, ww: np.ndarray, intercept: float, empty: bool, bits: int, text_at: int):
