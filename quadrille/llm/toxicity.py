@@ -17,6 +17,7 @@ given twice are scored twice. A text longer than BLOCK is a block of its own; in
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -48,23 +49,26 @@ def features(data: np.ndarray, off: np.ndarray, bits: int = BITS) -> tuple[np.nd
 def fit(places: np.ndarray, cut: np.ndarray, labels: np.ndarray, bits: int = BITS, epochs: int = EPOCHS) -> tuple[np.ndarray, np.ndarray, float]:
     """Places and weights that aren't zero, and the intercept; text i has the distinct places places[cut[i]:cut[i + 1]]."""
     size = 1 << bits
-    z, n = np.zeros(size + 1), np.zeros(size + 1)
+    z, n, root = np.zeros(size + 1), np.zeros(size + 1), np.zeros(size + 1)  # root: of n
 
-    def weights(at: np.ndarray) -> np.ndarray:
-        zz = z[at]
-        l1 = np.where(at == size, 0.0, L1)  # the intercept is free
-        return np.where(np.abs(zz) <= l1, 0.0, (np.sign(zz) * l1 - zz) / ((BETA + np.sqrt(n[at])) / ALPHA + L2))
+    def weights(zz: np.ndarray, rr: np.ndarray) -> np.ndarray:
+        rate = (BETA + rr) / ALPHA + L2
+        ww = (np.clip(zz, -L1, L1) - zz) / rate
+        ww[-1] = -zz[-1] / rate[-1]  # the intercept, always last, is free
+        return ww
 
+    own = np.insert(places, cut[1:], size)  # each text's places and the intercept
+    bounds = (cut + np.arange(len(cut))).tolist()
     for _ in range(epochs):
-        for i, y in enumerate(labels):
-            at = np.append(places[cut[i] : cut[i + 1]], size)
-            ww = weights(at)
-            g = 1.0 / (1.0 + np.exp(-np.clip(ww.sum(), -35, 35))) - y
-            had = n[at]
-            n[at] = had + g * g
-            z[at] += g - (np.sqrt(n[at]) - np.sqrt(had)) / ALPHA * ww
-    every = np.arange(size + 1)
-    ww = weights(every)
+        for i, y in enumerate(labels.tolist()):
+            at = own[bounds[i] : bounds[i + 1]]
+            zz, rr = z[at], root[at]
+            ww = weights(zz, rr)
+            g = 1.0 / (1.0 + math.exp(-min(35.0, max(-35.0, float(ww.sum()))))) - y
+            nn = n[at] + g * g
+            now = np.sqrt(nn)
+            n[at], root[at], z[at] = nn, now, zz + (g - (now - rr) / ALPHA * ww)
+    ww = weights(z, root)
     kept = np.flatnonzero(ww[:size])
     return kept, ww[kept], float(ww[size])
 
