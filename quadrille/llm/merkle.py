@@ -46,8 +46,8 @@ _PARAGRAPH = re.compile(rb"[^\n]*+\n|[^\n]++")
 _LEAF = re.compile(rb"\S++\s*+|\s++")
 
 
-def _hash(data: bytes) -> bytes:
-    return hashlib.blake2b(data, digest_size=DIGEST).digest()
+def _hash(data: bytes, blake2b=hashlib.blake2b) -> bytes:
+    return blake2b(data, digest_size=DIGEST).digest()
 
 
 def _leaves(paragraph: bytes) -> list[bytes]:
@@ -62,19 +62,28 @@ def _leaves(paragraph: bytes) -> list[bytes]:
     return [*out, b"".join(words[begin:])] if begin < len(words) else out
 
 
+def _node(paragraph: bytes) -> tuple:
+    leaves = _leaves(paragraph)
+    digests = list(map(_hash, leaves))
+    marks = array("Q", [h << 32 | len(x) for (h,), x in zip(struct.iter_unpack("<I12x", b"".join(digests)), leaves, strict=True)])
+    return _hash(b"p" + b"".join(digests)), len(paragraph), marks
+
+
 class Tree:
     """root; size: bytes of the text; sections: (digest, bytes, paragraphs), a paragraph: (digest, bytes, leaves), a leaf: 4 bytes of its digest << 32 | its bytes."""
 
-    __slots__ = ("root", "sections", "size")
+    __slots__ = ("nodes", "root", "sections", "size")
 
-    def __init__(self, text: bytes):
-        self.size, self.sections = len(text), []
+    def __init__(self, text: bytes, *known: dict[bytes, tuple]):
+        """known: paragraphs of other trees (their `nodes`), which aren't hashed again."""
+        self.size, self.sections, self.nodes = len(text), [], {}
         section: list[tuple] = []
         for paragraph in _PARAGRAPH.findall(text):
-            leaves = _leaves(paragraph)
-            digests = list(map(_hash, leaves))
-            marks = array("Q", (int.from_bytes(d[:4], "little") << 32 | len(x) for d, x in zip(digests, leaves, strict=True)))
-            section.append((_hash(b"p" + b"".join(digests)), len(paragraph), marks))
+            node = self.nodes.get(paragraph)
+            if node is None:
+                node = next((k[paragraph] for k in known if paragraph in k), None) or _node(paragraph)
+                self.nodes[paragraph] = node
+            section.append(node)
             if len(section) == SECTION or not paragraph.strip():
                 self._close(section)
                 section = []
@@ -103,7 +112,7 @@ class Tree:
     @classmethod
     def decoded(cls, data: bytes) -> Tree:
         self, at = cls.__new__(cls), DIGEST + 12
-        self.root, self.sections = data[:DIGEST], []
+        self.root, self.sections, self.nodes = data[:DIGEST], [], {}
         self.size, count = struct.unpack_from("<QI", data, DIGEST)
         for _ in range(count):
             digest, (n,) = data[at : at + DIGEST], struct.unpack_from("<I", data, at + DIGEST)
@@ -173,7 +182,7 @@ _DDL = "id long, n_chars long, edited_sha256 string, fingerprint string, edited_
 
 def _pair(key: int | None, text: str, tree: Tree, following: str, next_tree: Tree) -> tuple:
     e = edited(text, following).encode()
-    changed = Tree(e)
+    changed = Tree(e, tree.nodes, next_tree.nodes)
     at = tree.first_difference(changed) or (None, None)
     return key, len(text), hashlib.sha256(e).hexdigest(), tree.root.hex(), changed.root.hex(), tree.likeness(changed), tree.likeness(next_tree), *at, len(tree.sections), tree.leaves, tree.encoded()
 
