@@ -168,13 +168,10 @@ def test_empty_tables(spark, folder, tmp_path):
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
 
 
-def test_a_run_leaves_only_its_result(spark, folder):
-    from pathlib import Path
+def test_a_run_leaves_only_its_result(spark, folder, tmp_path, monkeypatch):
+    from quadrille.llm import _frames
 
-    from quadrille.llm._frames import shared_folder
-
-    at = Path(shared_folder(spark).removeprefix("file://"))
-    before = {p.name for p in at.iterdir()}
+    # a folder of its own: others may write to the session's meanwhile
+    monkeypatch.setattr(_frames, "shared_folder", lambda spark: f"file://{tmp_path}")
     assert corpus_pipeline.run(spark, str(folder)).count() > 50
-    left = {p.name for p in at.iterdir()} - before
-    assert [n.rsplit("-", 1)[0] for n in left] == ["pipeline-best-fit-packing"]
+    assert [p.name.rsplit("-", 1)[0] for p in tmp_path.iterdir()] == ["pipeline-best-fit-packing"]
