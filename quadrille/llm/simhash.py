@@ -119,13 +119,15 @@ def _through_centres(fps: DataFrame, distance: int) -> DataFrame:
     mask = F.explode(F.array(*[F.lit(m).cast("long") for m in _ball(64, far)]))
     probes = fps.select("fp", mask.alias("m")).select("fp", F.col("fp").bitwiseXOR(F.col("m")).alias("centre"), (F.bit_count("m") <= near).alias("near"))
     heads = probes.where("near").groupBy("centre").agg(F.min("fp").alias("head"))
-    return probes.join(heads, "centre").where("fp != head").select(F.least("fp", "head").alias("a"), F.greatest("fp", "head").alias("b")).distinct()
+    return probes.join(heads.hint("merge"), "centre").where("fp != head").select(F.least("fp", "head").alias("a"), F.greatest("fp", "head").alias("b")).distinct()
 
 
 def links(nodes: DataFrame, distance: int = DISTANCE, hot: int = HOT, crowd: int | None = None) -> DataFrame:
     """(a, b), a < b: the fingerprints in `nodes` (fp, distinct) that differ in at most `distance` bits.
 
     crowd: how many may share a key before their links are thinned out to those that hold the components together.
+    Joins with probes are never broadcasts: the planner takes a fingerprint's many probes for one row, and the driver would
+    hold them all.
     """
     found = None
     count = _segments(distance)
@@ -137,7 +139,7 @@ def links(nodes: DataFrame, distance: int = DISTANCE, hot: int = HOT, crowd: int
         crowded = written(keyed.groupBy("v").count().where(F.col("count") > (hot if pieces else 1)).select("v"), f"hot-{s}")
         ball = F.array(*[F.lit(m).cast("long") for m in _ball(width, radius)])
         probes = keyed.select("fp", "v", F.explode(ball).alias("m")).select("fp", F.col("v").bitwiseXOR(F.col("m")).alias("v"))
-        pair = lambda p, t, on: p.alias("p").join(t.alias("t"), on).where((F.col("p.fp") < F.col("t.fp")) & (F.bit_count(F.col("p.fp").bitwiseXOR(F.col("t.fp"))) <= distance)).select(F.col("p.fp").alias("a"), F.col("t.fp").alias("b"))
+        pair = lambda p, t, on: p.alias("p").join(t.alias("t").hint("merge"), on).where((F.col("p.fp") < F.col("t.fp")) & (F.bit_count(F.col("p.fp").bitwiseXOR(F.col("t.fp"))) <= distance)).select(F.col("p.fp").alias("a"), F.col("t.fp").alias("b"))
         plain = pair(probes, keyed.join(crowded, "v", "left_anti"), "v")
         if not pieces:  # the segment is the fingerprint: no value is shared
             found = plain if found is None else found.union(plain)

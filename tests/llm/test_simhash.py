@@ -1,7 +1,10 @@
 import random
+import re
 
+import pytest
 import xxhash
 
+from quadrille.llm import simhash
 from quadrille.llm.simhash import fingerprint, links, near_duplicates, one_of_each
 
 SCHEMA = "doc_id long, text string, fp string, component_id string"
@@ -180,3 +183,11 @@ def test_many_copies_and_null_ids(spark):
     assert len(found) == len(rows) and {x.component_id for x in found if x.fp == found[0].fp} <= {0, None}
     kept = one_of_each(df).collect()
     assert [x.doc_id for x in kept if x.text.startswith("same")] == [0]
+
+
+@pytest.mark.parametrize("make", [lambda n: simhash.links(n, 3, crowd=8), lambda n: simhash._through_centres(n, 3)])
+def test_probes_are_never_broadcast(spark, make):
+    base = 0x0123456789ABCDEF
+    nodes = simhash.written(spark.createDataFrame([(base ^ (1 << i) ^ (1 << j),) for i in range(12) for j in range(i)], "fp long"), "nodes")  # a file, whose small size the planner knows
+    plan = make(nodes)._jdf.queryExecution().executedPlan().toString()
+    assert "Generate explode" in plan and not re.search(r"BroadcastHashJoin .*Inner", plan)
