@@ -187,7 +187,8 @@ def one_of_each(docs: DataFrame, distance: int = DISTANCE, id_col: str = "doc_id
     """docs with one row of each group of near duplicates: the one with the least id (null ids last; equal ids by a hash of the text).
 
     Rows, not ids, are decided on: rows that share an id, or have none, and aren't near duplicates all stay. Of rows equal in
-    id and text the one whose columns come first as JSON stays. All columns are kept.
+    id and text the one whose columns come first as JSON stays. All columns are kept. Joins with the rows that go, or come twice,
+    are never broadcasts: of many copies their files are small, and the driver would hold them unpacked.
     """
     names = ["_none", "_id", "_h", "_g"]
     keyed = docs.select(*_row_key(id_col, text_col), F.col(f"`{text_col}`").cast("string").alias("text"))
@@ -197,8 +198,8 @@ def one_of_each(docs: DataFrame, distance: int = DISTANCE, id_col: str = "doc_id
     judged = written(distinct.join(_clusters(rows, mine, distance), "fp").select(*names, "times", (mine == F.col("best")).alias("stays")), "judged")
     gone, again = judged.where("not stays").select(*names), judged.where("stays and times > 1").select(*names)
     tagged = docs.select(F.struct(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns))).alias("row"), *_row_key(id_col, text_col))
-    kept = tagged.join(gone, names, "left_anti")
+    kept = tagged.join(gone.hint("merge"), names, "left_anti")
     if not again.isEmpty():
-        twice = kept.join(again, names, "left_semi").groupBy(*names).agg(F.min_by("row", F.to_json("row")).alias("row"))
-        kept = kept.join(again, names, "left_anti").select("row").union(twice.select("row"))
+        twice = kept.join(again.hint("merge"), names, "left_semi").groupBy(*names).agg(F.min_by("row", F.to_json("row")).alias("row"))
+        kept = kept.join(again.hint("merge"), names, "left_anti").select("row").union(twice.select("row"))
     return kept.select(*(F.col(f"row.c{i}").alias(c) for i, c in enumerate(docs.columns)))

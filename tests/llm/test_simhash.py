@@ -191,3 +191,16 @@ def test_probes_are_never_broadcast(spark, make):
     nodes = simhash.written(spark.createDataFrame([(base ^ (1 << i) ^ (1 << j),) for i in range(12) for j in range(i)], "fp long"), "nodes")  # a file, whose small size the planner knows
     plan = make(nodes)._jdf.queryExecution().executedPlan().toString()
     assert "Generate explode" in plan and not re.search(r"BroadcastHashJoin .*Inner", plan)
+
+
+def test_rows_that_go_are_never_broadcast(spark):
+    rows = [(i, f"text number {i % 9} of a few that come often {i % 9 * 7919}") for i in range(400)] + [(1, "text number 1 of a few that come often 7919")] * 3 + [(0, "text number 0 of a few that come often 0")]
+    kept = one_of_each(spark.createDataFrame(rows, "doc_id long, text string"))
+    plan = kept._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"SortMergeJoin .*LeftAnti", plan) and not re.search(r"BroadcastHashJoin .*Left(Anti|Semi)", plan)
+    least = {}
+    for i, text in rows:
+        least[text] = min(i, least.get(text, i))
+    fps = {t: simhash.fingerprint(t.encode()) for t in least}
+    assert all((fps[a] ^ fps[b]).bit_count() > 3 for a in least for b in least if a < b)  # of these texts only the copies are near
+    assert sorted((x.doc_id, x.text) for x in kept.collect()) == sorted((i, t) for t, i in least.items())
